@@ -1,0 +1,34 @@
+"""Connected components of an edge table by alternating large and small stars."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from arkose.llm.common import settled
+
+
+def _mark(edges: DataFrame) -> tuple:
+    """Equal for equal edge sets, but for a chance of about 2^-64."""
+    return tuple(edges.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))")).first())
+
+
+def stars(edges: DataFrame) -> DataFrame:
+    """From edges (u, v) of longs: (u, v) for each node u that is not the least of its
+    component, v being that least node. No edges give no rows. Each round is written to
+    the shared folder; a node of any degree is met by a join, which Spark can split, not
+    gathered in one task."""
+    now = settled(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    mark = _mark(now)
+    while mark[0]:
+        both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = settled(large)
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        now = settled(small.union(least.select("u", F.col("m").alias("v"))).distinct())
+        last, mark = mark, _mark(now)
+        if mark == last:
+            break
+    return now

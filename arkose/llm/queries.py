@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arkose.llm import common, packing, token_counts, token_store
+from arkose.llm import common, mixing, packing, simhash, token_counts, token_store, vector_search
 
 BYTE_BPE, WORD_BPE = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
 QUERIES, ORACLES = {}, {}
@@ -28,8 +28,30 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(common.table(spark, sf_dir, "documents"), WORD_BPE)
 
 
+@query
+def op4_top_k_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_search.top_k(common.table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+ORACLES["op4_top_k_search"] = vector_search.ORACLE
+
+
 @query
 def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = common.shared_dir(spark)
     token_store.write_tokens(common.table(spark, sf_dir, "documents"), BYTE_BPE, out)
     return token_store.read_tokens(spark, out)
+
+
+@query
+def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(common.table(spark, sf_dir, "documents"))
+
+
+@query
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mixing.copies(common.table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return out.select("doc_id", F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), (F.col("__size") * F.col("__copies")).alias("taken"))
+
+
+ORACLES["op10_mixing"] = mixing.ORACLE
