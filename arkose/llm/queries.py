@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arkose.llm import common, mixing, packing, simhash, token_counts, token_store, vector_search
+from arkose.llm import common, media, mixing, packing, simhash, token_counts, token_store, vector_search
 
 BYTE_BPE, WORD_BPE = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
 QUERIES, ORACLES = {}, {}
@@ -28,6 +28,11 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(common.table(spark, sf_dir, "documents"), WORD_BPE)
 
 
+@query
+def op3_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.analysed(media.store(common.table(spark, sf_dir, "documents")))
+
+
 @query
 def op4_top_k_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_search.top_k(common.table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
