@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arkose.llm import common, media, mixing, packing, simhash, token_counts, token_store, vector_search
+from arkose.llm import chat, common, media, mixing, packing, pii, quality, simhash, token_counts, token_store, vector_search
 
 BYTE_BPE, WORD_BPE = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
 QUERIES, ORACLES = {}, {}
@@ -53,6 +53,31 @@ def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(common.table(spark, sf_dir, "documents"))
 
 
+@query
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents")
+    model = quality.train(docs, common.table(spark, sf_dir, "labels"))
+    scored = quality.score(docs, model)
+    return scored.select("doc_id", quality.held_out().alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+@query
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.spans(common.table(spark, sf_dir, "documents"))
+    number = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
+    sha = F.sha2(pii.listed(F.col("base")), 256)
+    return found.select("doc_id", *map(number, pii.KINDS), sha.alias("base_sha256"), pii.listed(F.concat("base", "extra")).alias("spans"))
+
+
+@query
+def op9_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = chat.preferences(chat.last_answers(common.table(spark, sf_dir, "conversations")))
+    return pairs.withColumns({c: chat.mask_text(F.col(c)) for c in ("chosen_mask", "rejected_mask")})
+
+
+ORACLES["op9_preferences"] = chat.ORACLE
+
+
 @query
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.copies(common.table(spark, sf_dir, "documents").select("doc_id", "text", "source"))

@@ -18,6 +18,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from arkose.llm.common import settled
 from arkose.llm.graphs import stars
@@ -56,7 +57,8 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], names=["id", "fp"])
 
     source = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return source.mapInArrow(run, f"id {source.schema['id'].dataType.simpleString()}, fp long").withColumnRenamed("id", id_col)
+    schema = T.StructType([T.StructField("id", source.schema["id"].dataType), T.StructField("fp", T.LongType())])
+    return source.mapInArrow(run, schema).withColumnRenamed("id", id_col)
 
 
 def masks(radius: int, blocks: int) -> list[int]:
@@ -201,20 +203,47 @@ def link_forest(fps: DataFrame, radius: int = 4, blocks: int = 6, block_rows: in
     return rows.select(*by, "side", "fp").mapInArrow(solve, "u long, v long")
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 4, blocks: int = 6, block_rows: int = 1024) -> DataFrame:
+def _classes(df: DataFrame, id_col: str, text_col: str, radius: int = 4, blocks: int = 6, block_rows: int = 1024) -> tuple[DataFrame, DataFrame]:
+    """Rows (id, fp), and for each distinct fingerprint (fp, root, component_id): the
+    least fingerprint and the least id (null if there is none) of its component."""
+    docs = settled(fingerprints(df, id_col, text_col).select(F.col(id_col).alias("id"), "fp"))
+    fps = settled(docs.groupBy("fp").agg(F.min("id").alias("first")))
+    star = stars(link_forest(fps.select("fp"), radius, blocks, block_rows))
+    star = star.union(star.select(F.col("v"), F.col("v")).distinct()).select(F.col("u").alias("fp"), F.col("v").alias("root"))
+    least = star.join(fps, "fp").groupBy("root").agg(F.min("first").alias("least"))
+    linked = star.join(least, "root").withColumn("linked", F.lit(True))
+    classes = fps.join(linked, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.when(F.col("linked"), F.col("least")).otherwise(F.col("first")).alias("component_id"))
+    return docs, settled(classes)
+
+
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """Per row: id, fingerprint (16 lowercase hex digits), component_id: the least id
-    that links of at most `radius` differing bits reach.
+    that links of at most `radius` (4) differing bits reach.
 
     A null or empty text has fingerprint 0 and links like any other. Null ids are not
     least, unless a component has no other id: then its component_id is null. Repeated
     rows are in one component. An empty table gives no row. Other columns are ignored.
     """
-    docs = settled(fingerprints(df, id_col, text_col).select(F.col(id_col).alias("id"), "fp"))
-    fps = settled(docs.groupBy("fp").agg(F.min("id").alias("first")))
-    star = stars(link_forest(fps.select("fp"), radius, blocks, block_rows))
-    star = star.union(star.select(F.col("v"), F.col("v")).distinct()).select(F.col("u").alias("fp"), F.col("v").alias("root"))
-    least = star.join(fps, "fp").groupBy("root").agg(F.min("first").alias("least"))
-    linked = star.join(least, "root").select("fp", "least")
-    classes = settled(fps.join(linked, "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id")))
-    out = docs.join(classes, "fp")
-    return out.select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    docs, classes = _classes(df, id_col, text_col, **options)
+    return docs.join(classes, "fp").select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def first_of_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """`df`, with all its columns, cut to one row of each group of near-duplicates: a row
+    with the group's least id (null only where all are).
+
+    Where several rows have that id, the one that is least as JSON stays. Only rows whose
+    id is null or not unique are compared; the others are kept or not by their id alone.
+    """
+    docs, classes = _classes(df, id_col, text_col, **options)
+    heads = docs.join(classes, "fp").where("id <=> component_id").groupBy("id").agg(F.count("*").alias("n"))
+    heads = settled(heads.select(F.col("id").alias("__id"), F.when(F.col("id").isNotNull(), F.col("n")).otherwise(2).alias("__n")))
+    same = df[id_col].eqNullSafe(F.col("__id"))
+    kept = df.join(heads.where("__n = 1"), df[id_col] == F.col("__id"), "left_semi")
+    many = heads.where("__n > 1")
+    if many.isEmpty():
+        return kept
+    rows = df.join(many, same, "left_semi").select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col(text_col).alias("text"))
+    rows = fingerprints(rows, "row", "text").join(classes, "fp").where(F.col(f"row.`{id_col}`").eqNullSafe(F.col("component_id")))
+    first = rows.groupBy("root").agg(F.min_by("row", F.to_json("row")).alias("row"))
+    return kept.union(first.select(*[F.col(f"row.`{c}`").alias(c) for c in df.columns]))
