@@ -1,15 +1,18 @@
-"""All named queries of the engine and their SQL."""
+"""All named queries of the engine and their SQL, in the order of the survey's list."""
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from arkose.functions import scalar, udfs
+from arkose.operators import aggregates, joins, relational, text, windows
+from arkose.sources import formats
+from arkose.streaming import events
 
-QUERIES, ORACLES = {}, {}
+_MODULES = (relational, formats, joins, aggregates, windows, scalar, udfs, events, text)
 
 
-def queries():
-    return dict(QUERIES)
+def queries() -> dict:
+    return {k: q for m in _MODULES for k, q in m.R.queries.items()}
 
 
-def oracles():
-    return dict(ORACLES)
+def oracles() -> dict[str, str]:
+    return {k: q for m in _MODULES for k, q in m.R.oracles.items()}
