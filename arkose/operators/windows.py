@@ -16,29 +16,30 @@ def top_k_per_group(df: DataFrame, keys: list[str], order: list[Column], k: int)
     return df.withColumn("__rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("__rn") <= k).drop("__rn")
 
 
-_BY = Window.partitionBy("user_id").orderBy("ts")
+def _by():
+    return Window.partitionBy("user_id").orderBy("ts")
 
 
 @R.query("SELECT event_id, row_number() OVER w AS rn, rank() OVER v AS rk, dense_rank() OVER v AS dr FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts), v AS (PARTITION BY user_id ORDER BY event_type)")
 def e1_ranks(t):
     v = Window.partitionBy("user_id").orderBy("event_type")
-    return t.events.select("event_id", F.row_number().over(_BY).cast("bigint").alias("rn"), F.rank().over(v).cast("bigint").alias("rk"), F.dense_rank().over(v).cast("bigint").alias("dr"))
+    return t.events.select("event_id", F.row_number().over(_by()).cast("bigint").alias("rn"), F.rank().over(v).cast("bigint").alias("rk"), F.dense_rank().over(v).cast("bigint").alias("dr"))
 
 
 @R.query("SELECT event_id, percent_rank() OVER w AS pr, cume_dist() OVER w AS cd, ntile(4) OVER w AS nt FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)")
 def e2_distribution(t):
-    return t.events.select("event_id", F.percent_rank().over(_BY).alias("pr"), F.cume_dist().over(_BY).alias("cd"), F.ntile(4).over(_BY).cast("bigint").alias("nt"))
+    return t.events.select("event_id", F.percent_rank().over(_by()).alias("pr"), F.cume_dist().over(_by()).alias("cd"), F.ntile(4).over(_by()).cast("bigint").alias("nt"))
 
 
 @R.query("SELECT event_id, lead(value, 1, 0.0) OVER w AS nxt, lag(value) OVER w AS prv, lag(CASE WHEN event_type = 'click' THEN event_id END IGNORE NULLS) OVER w AS click FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)")
 def e3_lag_lead(t):
     click = F.when(F.col("event_type") == "click", F.col("event_id"))
-    return t.events.select("event_id", F.lead("value", 1, 0.0).over(_BY).alias("nxt"), F.lag("value").over(_BY).alias("prv"), F.last(click, ignorenulls=True).over(_BY.rowsBetween(Window.unboundedPreceding, -1)).alias("click"))
+    return t.events.select("event_id", F.lead("value", 1, 0.0).over(_by()).alias("nxt"), F.lag("value").over(_by()).alias("prv"), F.last(click, ignorenulls=True).over(_by().rowsBetween(Window.unboundedPreceding, -1)).alias("click"))
 
 
 @R.query("SELECT event_id, first_value(value) OVER w AS f, last_value(value) OVER w AS l, nth_value(value, 3) OVER w AS n3 FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)")
 def e4_first_last(t):
-    w = _BY.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    w = _by().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     return t.events.select("event_id", F.first("value").over(w).alias("f"), F.last("value").over(w).alias("l"), F.nth_value("value", 3).over(w).alias("n3"))
 
 
@@ -46,12 +47,12 @@ def e4_first_last(t):
 def e5_running(t):
     """The default frame ends with the last row that ties with the current one."""
     ties = Window.partitionBy("user_id").orderBy("event_type")
-    return t.events.select("event_id", F.count("*").over(ties).alias("n"), F.sum(money("value")).over(_BY).cast("double").alias("total"))
+    return t.events.select("event_id", F.count("*").over(ties).alias("n"), F.sum(money("value")).over(_by()).cast("double").alias("total"))
 
 
 @R.query("SELECT event_id, sum(cast(value as decimal(18,2))) OVER w::DOUBLE / count(*) OVER w AS moving FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)")
 def e6_rows_frame(t):
-    w = _BY.rowsBetween(-4, 0)
+    w = _by().rowsBetween(-4, 0)
     return t.events.select("event_id", (F.sum(money("value")).over(w).cast("double") / F.count("*").over(w)).alias("moving"))
 
 
