@@ -85,62 +85,108 @@ class UnitCache(dict):
         return value
 
 
-def gpt_units(text: str) -> tuple[list[str], list[str]]:
-    """Splits a text where the byte-level pre-tokenizer always splits, too.
-
-    Returns (bare, spaced): units as they are, and units to be read with a space
-    before them, together all of the text; their order is bare[0], then as in the
-    text if `bare` has one unit (the usual case). Use `ordered_units` for order.
-    """
+def spaced_units(text: str) -> list[str]:
+    """The units of a text that follow a space, without it: a byte-level pre-tokenizer
+    always splits before such a space."""
     if _GLUED.search(text) is None:
-        parts = text.split(" ")
-        return parts[:1], parts[1:]
-    bare, spaced = [], []
-    for u in _UNIT.findall(text):
-        if u[0] == " ":
-            spaced.append(u[1:])
-        else:
-            bare.append(u)
-    return bare, spaced
+        return text.split(" ")[1:]
+    return [u[1:] for u in _UNIT.findall(text) if u[0] == " "]
 
 
-class ByteLevelIds:
-    """Ids of whole texts as little-endian unsigned 32-bit numbers, by cached units.
+def _byte_chars() -> dict[int, str]:
+    """The byte-level alphabet: visible Latin-1 bytes stand for themselves, the others
+    for the characters from 256 on, in order."""
+    kept = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = [b for b in range(256) if b not in kept]
+    return {b: chr(256 + i) for i, b in enumerate(others)}
+
+
+_BYTE_CHARS = _byte_chars()
+#: Letters for which all versions of Unicode agree, and ASCII marks (fixed values).
+_LETTERS, _MARKS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f", "!-/:-@\\[-`{-~"
+_PLAIN = re.compile(f"([{_LETTERS}]*)([{_MARKS}]*)(?:\n([{_LETTERS}]*)([{_MARKS}]*))?")
 
-    Equal to `Tokenizer.encode(text, add_special_tokens=False).ids` for byte-level
-    BPE with the usual pre-tokenizer, special strings inside texts included.
-    """
 
-    def __init__(self, path: str):
-        self._tok, self._special = tokenizer(path), special_strings(path)
-        self._spaced = UnitCache(lambda u: self._encode(" " + u))
-        self._bare = UnitCache(self._encode, limit=50_000)
+def packed(ids: list[int]) -> bytes:
+    """Ids as little-endian unsigned 32-bit numbers."""
+    return array("I", ids).tobytes()
 
-    def _encode(self, text: str) -> bytes:
-        return array("I", self._tok.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def __call__(self, text: str) -> bytes:
+class _Values:
+    """value(ids) by text, for values that add up as their texts do (len, packed).
+
+    Units of letters, then marks, are put together from their pre-tokens, each of which
+    the tokenizer's model encodes once; other units go through the whole tokenizer.
+    """
+
+    def __init__(self, path: str, value):
+        self._tok, self._value = tokenizer(path), value
+        self._pre = UnitCache(self._model)
+        self._zero = value([])
+
+    def _model(self, pre: str):
+        text = pre.encode().decode("latin-1").translate(_BYTE_CHARS)
+        return self._value([t.id for t in self._tok.model.tokenize(text)])
+
+    def whole(self, text: str):
+        """Of any text, by the tokenizer itself."""
+        return self._value(self._tok.encode(text, add_special_tokens=False).ids)
+
+
+class ByteLevel(_Values):
+    """Of whole texts, for byte-level BPE with the usual pre-tokenizer; special strings
+    inside texts are read as the library reads them. `pinned` holds known values of
+    units with a space before them."""
+
+    def __init__(self, path: str, value, pinned=None):
+        super().__init__(path, value)
+        self._special = special_strings(path)
+        self._spaced = UnitCache(self._unit, pinned)
+        self._bare = UnitCache(self.whole, limit=50_000)
+
+    def _unit(self, unit: str):
+        m = _PLAIN.fullmatch(unit)
+        if m is None:
+            return self.whole(" " + unit)
+        word, marks, word2, marks2 = m.groups()
+        pre = self._pre
+        if word:
+            value = pre[" " + word] + (pre[marks] if marks else self._zero)
+        elif marks:
+            value = pre[" " + marks]
+        else:
+            return self.whole(" " + unit)
+        if word2 is not None:
+            value = value + pre["\n"] + (pre[word2] if word2 else self._zero) + (pre[marks2] if marks2 else self._zero)
+        return value
+
+    def values(self, text: str) -> list:
+        """Values that add up to the text's, in its order."""
         if any(s in text for s in self._special):
-            return self._encode(text)
+            return [self.whole(text)]
         if _GLUED.search(text) is None:
             parts = text.split(" ")
-            return self._bare[parts[0]] + b"".join(map(self._spaced.__getitem__, parts[1:]))
-        return b"".join([self._spaced[u[1:]] if u[0] == " " else self._bare[u] for u in _UNIT.findall(text)])
+            return [self._bare[parts[0]], *map(self._spaced.__getitem__, parts[1:])]
+        return [self._spaced[u[1:]] if u[0] == " " else self._bare[u] for u in _UNIT.findall(text)]
 
 
-class WordIds:
+class WordLevel(_Values):
     """The same for the word-end BPE, which lower-cases and drops white space: no
     token spans a space or line end, so the texts between them are independent."""
 
-    def __init__(self, path: str):
-        self._tok = tokenizer(path)
-        self._cache = UnitCache(self._encode)
+    def __init__(self, path: str, value):
+        super().__init__(path, value)
+        self._units = UnitCache(self._unit)
 
-    def _encode(self, text: str) -> bytes:
-        return array("I", self._tok.encode(text, add_special_tokens=False).ids).tobytes()
+    def _unit(self, unit: str):
+        m = _PLAIN.fullmatch(unit)
+        if m is None:
+            return self.whole(unit)
+        word, marks = m[1], m[2]
+        return (self._pre[word.lower()] if word else self._zero) + (self._pre[marks] if marks else self._zero)
 
-    def __call__(self, text: str) -> bytes:
-        return b"".join(map(self._cache.__getitem__, text.replace("\n", " ").split(" ")))
+    def values(self, text: str) -> list:
+        return list(map(self._units.__getitem__, text.replace("\n", " ").split(" ")))
 
 
 assert array("I").itemsize == 4

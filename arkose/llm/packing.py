@@ -10,14 +10,13 @@ sequences, then the remainder as powers of two, so nothing is padded.
 from __future__ import annotations
 
 import zlib
-from array import array
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arkose.llm.common import WordIds
+from arkose.llm.common import WordLevel, packed
 
 LINEAR, QUADRATIC = 1.0, 1.0 / 2048
 
@@ -79,8 +78,8 @@ def pack(df: DataFrame, path: str, end_id: int = 2, seq_len: int = 4096, id_col:
     def run(batches):
         from pyspark import TaskContext
 
-        ids, base = WordIds(path), TaskContext.get().partitionId() << 33
-        end, keys, docs, pending, done = array("I", [end_id]).tobytes(), [], [], 0, 0
+        values, base = WordLevel(path, packed).values, TaskContext.get().partitionId() << 33
+        end, keys, docs, pending, done = packed([end_id]), [], [], 0, 0
 
         def flush():
             nonlocal keys, docs, pending, done
@@ -103,7 +102,7 @@ def pack(df: DataFrame, path: str, end_id: int = 2, seq_len: int = 4096, id_col:
             key_type = batch.schema.field(0).type
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 keys.append(key)
-                docs.append(ids(text or "") + end)
+                docs.append(b"".join(values(text or "")) + end)
                 pending += len(docs[-1]) // 4
                 if pending >= block_tokens:
                     yield flush()

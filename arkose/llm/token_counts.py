@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arkose.llm.common import LONGEST_CACHED, UnitCache, gpt_units, special_strings, tokenizer
+from arkose.llm.common import LONGEST_CACHED, ByteLevel, spaced_units, tokenizer
 
 FAN_IN = 64
 _SUMMARY = "grp long, units array<string>, counts array<long>"
@@ -41,7 +41,7 @@ def frequent_units(df: DataFrame, text_col: str = "text", k: int = 8192) -> list
         counts: Counter = Counter()
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                counts.update(gpt_units(text or "")[1])
+                counts.update(spaced_units(text or ""))
                 if len(counts) > 32 * k:
                     counts = _pruned(counts, k)
         top = [(u, n) for u, n in _pruned(counts, k).items() if len(u) <= LONGEST_CACHED]
@@ -83,21 +83,14 @@ def token_counts(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     tier_one = df.sparkSession.sparkContext.broadcast((units, lengths.tobytes()))
 
     def count(batches):
-        tok, special = tokenizer(path), special_strings(path)
         keys, raw = tier_one.value
-        number = lambda text: len(tok.encode(text, add_special_tokens=False))
-        spaced = UnitCache(lambda u: number(" " + u), dict(zip(keys, array("H", raw))))
-        bare = UnitCache(number, limit=50_000)
+        values = ByteLevel(path, len, dict(zip(keys, array("H", raw)))).values
         for batch in batches:
             n_bytes, n_tokens = array("q"), array("q")
             for text in batch.column(1).to_pylist():
                 text = text or ""
                 n_bytes.append(len(text.encode()))
-                if any(s in text for s in special):
-                    n_tokens.append(number(text))
-                else:
-                    first, rest = gpt_units(text)
-                    n_tokens.append(sum(map(bare.__getitem__, first)) + sum(map(spaced.__getitem__, rest)))
+                n_tokens.append(sum(values(text)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_bytes, pa.int64()), pa.array(n_tokens, pa.int64())], names=["id", "n_bytes", "n_tokens"])
 
     source = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))

@@ -15,7 +15,6 @@ from __future__ import annotations
 
 import struct
 import zlib
-from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from arkose.llm.common import ByteLevelIds, settled
+from arkose.llm.common import ByteLevel, packed, settled
 
 MAGIC = b"ARKBPLN1"
 _HEAD = struct.Struct("<5Q")
@@ -110,7 +109,7 @@ def write_tokens(df: DataFrame, path: str, out: str, end_id: int = 2, id_col: st
     def run(batches):
         from pyspark import TaskContext
 
-        encode, end, part = ByteLevelIds(path), array("I", [end_id]).tobytes(), TaskContext.get().partitionId()
+        values, end, part = ByteLevel(path, packed).values, packed([end_id]), TaskContext.get().partitionId()
         keys, docs, pending, seq = [], [], 0, 0
 
         def flush():
@@ -122,7 +121,7 @@ def write_tokens(df: DataFrame, path: str, out: str, end_id: int = 2, id_col: st
         for batch in batches:
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 keys.append(key)
-                docs.append(encode(text or "") + end)
+                docs.append(b"".join(values(text or "")) + end)
                 pending += len(docs[-1]) // 4
                 if pending >= shard_ids:
                     yield flush()
