@@ -38,6 +38,14 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{root}/arkose/{uuid.uuid4().hex}"
 
 
+def fresh(df: DataFrame, stem: str) -> str:
+    """A column name that `df` does not have."""
+    taken = {c.lower() for c in df.columns}
+    while stem.lower() in taken:
+        stem += "_"
+    return stem
+
+
 def settled(df: DataFrame) -> DataFrame:
     """`df` written to the shared folder and read again: lineage ends here, and the
     result survives the loss of any executor."""

@@ -54,26 +54,26 @@ def chance(id_: Column, seed: str) -> Column:
 
 
 def copies(df: DataFrame, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """`df` with size, source_size, target and copies as columns __size, __source_size,
-    __target and __copies, so that no column of its own can clash.
+    """Per row of `df`: row (its columns as a struct), size, source_size, target, copies.
 
     A null text has size 0. A null source is a source of its own; a null id is one
     more id. Repeated rows (equal ids) are taken alike. A source of size 0 has target 0
     and is not taken. An empty table gives no row. The sources' table is written and
     read again: its size is then known, and Spark broadcasts it only while small.
     """
-    sizes = df.select(F.col(source_col).alias("source"), size_of(F.col(text_col)).alias("size"))
-    per = settled(source_targets(sizes)).select(*[F.col(c).alias(f"__{c}") for c in ("source", "source_size", "target", "rate")])
-    out = df.withColumn("__size", size_of(F.col(text_col))).join(per, F.col(source_col).eqNullSafe(F.col("__source")))
-    whole = F.floor("__rate")
-    n = whole + (chance(F.col(id_col), seed) < F.col("__rate") - whole).cast("long")
-    return out.withColumn("__copies", n.cast("long")).drop("__source", "__rate")
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col(source_col).alias("of"), size_of(F.col(text_col)).alias("size"))
+    per = settled(source_targets(rows.select(F.col("of").alias("source"), "size")))
+    out = rows.join(per, rows["of"].eqNullSafe(per["source"]))
+    whole = F.floor("rate")
+    n = whole + (chance(F.col(f"row.`{id_col}`"), seed) < F.col("rate") - whole).cast("long")
+    return out.select("row", "size", "source_size", "target", n.cast("long").alias("copies"))
 
 
 def mix(df: DataFrame, **options) -> DataFrame:
     """The mix itself: each row of `df` as often as it is taken, with df's columns."""
-    taken = copies(df, **options).where("__copies > 0")
-    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))).select(*[taken[c] for c in df.columns])
+    taken = copies(df, **options).where("copies > 0")
+    taken = taken.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    return taken.select(*[F.col(f"row.`{c}`").alias(c) for c in df.columns])
 
 
 ORACLE = rf"""

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arkose.llm.common import settled
+from arkose.llm.common import fresh, settled
 
 KINDS = ("email", "ip", "card", "phone")
 #: The kind of spans that contexts add; it comes after the others.
@@ -182,10 +182,6 @@ def discovered(df: DataFrame, text_col: str = "text") -> DataFrame:
     return settled(spans.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("extra")))
 
 
-def _joined(df: DataFrame, text_col: str, extra: DataFrame, key: str) -> DataFrame:
-    return df.withColumn(key, F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit(""))))).join(extra.select(F.col("key").alias(key), F.col("extra").alias(key + "x")), key, "left")
-
-
 def spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, base and extra as arrays of (start, kind, end), in code points.
 
@@ -237,7 +233,9 @@ def masked(df: DataFrame, text_col: str = "text", length_col: str | None = "n_ch
     """`df` with its personal data masked in `text_col`, and `length_col`, if there is
     one, set to the new number of code points. Null texts stay null (length kept)."""
     columns = df.columns
-    wide = _joined(df, text_col, discovered(df, text_col), "__key").drop("__key")
+    key, more = fresh(df, "key"), fresh(df, "extra")
+    found = discovered(df, text_col).select(F.col("key").alias(key), F.col("extra").alias(more))
+    wide = df.withColumn(key, F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit(""))))).join(found, key, "left")
     t, has = columns.index(text_col), length_col in columns
 
     def run(batches):
@@ -252,4 +250,4 @@ def masked(df: DataFrame, text_col: str = "text", length_col: str | None = "n_ch
                 cols[n] = pa.array([old if x is None else len(x) for x, old in zip(new, cols[n].to_pylist())], cols[n].type)
             yield pa.RecordBatch.from_arrays(cols, names=columns)
 
-    return wide.select(*[F.col(f"`{c}`") for c in columns], "__keyx").mapInArrow(run, df.schema)
+    return wide.select(*[F.col(f"`{c}`") for c in columns], more).mapInArrow(run, df.schema)

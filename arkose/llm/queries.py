@@ -81,7 +81,7 @@ ORACLES["op9_preferences"] = chat.ORACLE
 @query
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.copies(common.table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
-    return out.select("doc_id", F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), (F.col("__size") * F.col("__copies")).alias("taken"))
+    return out.select("row.doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
 ORACLES["op10_mixing"] = mixing.ORACLE

@@ -237,13 +237,12 @@ def first_of_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     docs, classes = _classes(df, id_col, text_col, **options)
     heads = docs.join(classes, "fp").where("id <=> component_id").groupBy("id").agg(F.count("*").alias("n"))
-    heads = settled(heads.select(F.col("id").alias("__id"), F.when(F.col("id").isNotNull(), F.col("n")).otherwise(2).alias("__n")))
-    same = df[id_col].eqNullSafe(F.col("__id"))
-    kept = df.join(heads.where("__n = 1"), df[id_col] == F.col("__id"), "left_semi")
-    many = heads.where("__n > 1")
+    heads = settled(heads.select("id", F.when(F.col("id").isNotNull(), F.col("n")).otherwise(2).alias("n")))
+    one, many = heads.where("n = 1"), heads.where("n > 1")
+    kept = df.join(one, df[id_col] == one["id"], "left_semi")
     if many.isEmpty():
         return kept
-    rows = df.join(many, same, "left_semi").select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col(text_col).alias("text"))
+    rows = df.join(many, df[id_col].eqNullSafe(many["id"]), "left_semi").select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col(text_col).alias("text"))
     rows = fingerprints(rows, "row", "text").join(classes, "fp").where(F.col(f"row.`{id_col}`").eqNullSafe(F.col("component_id")))
     first = rows.groupBy("root").agg(F.min_by("row", F.to_json("row")).alias("row"))
     return kept.union(first.select(*[F.col(f"row.`{c}`").alias(c) for c in df.columns]))

@@ -40,7 +40,7 @@ def _ids(planes: list[bytes], n: int) -> np.ndarray:
     if len(planes) == 4:
         return np.ascontiguousarray(np.stack([np.frombuffer(p, np.uint8) for p in planes]).T).view("<u4").ravel()
     bits = np.unpackbits(np.stack([np.frombuffer(p, np.uint8) for p in planes]), axis=1, count=n, bitorder="little")
-    return np.packbits(bits.T, axis=1, bitorder="little").view("<u4").ravel()
+    return np.ascontiguousarray(np.packbits(bits.T, axis=1, bitorder="little")).view("<u4").ravel()
 
 
 def write_shard(doc_ids: list, docs: list[bytes], chunk_ids: int = 65536, planes: int = 4, level: int = 3) -> bytes:

@@ -144,20 +144,22 @@ def top_k(df: DataFrame, is_query: Column, k: int = 5, scale: float = 256.0, id_
     sent = [sum(r.n for c, r in cells.items() if r.far >= need[g, c]) for g in range(len(sizes))]
     slices = [max(1, -(-int(n) // QUERY_BLOCK)) for n in sizes]
     blocks = [max(1, -(-n // DATA_BLOCK)) for n in sent]
-    plan = spark.sparkContext.broadcast((need, np.array(slices), np.array(blocks)))
+    plan = spark.sparkContext.broadcast((need, np.array(slices)))
 
     def to_groups(batches):
-        need, slices, _ = plan.value
-        for batch in batches:
-            near = batch.column(3).to_numpy()[:, None] >= need.T[batch.column(2).to_numpy()]
-            row, grp = np.nonzero(near)
-            times = slices[grp]
-            part = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-            row, grp = np.repeat(row, times), np.repeat(grp, times)
-            # a piece at a time: a row goes to as many places as there are query blocks
-            for a in range(0, len(row), 8192):
-                at = pa.array(row[a : a + 8192])
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(grp[a : a + 8192], pa.int32()), pa.array(part[a : a + 8192], pa.int32())], names=["id", "vec", "grp", "part"])
+        need, slices = plan.value
+        rows = max(1, (1 << 20) // len(slices))  # so many rows meet all groups' bounds at once
+        for whole in batches:
+            for at in range(0, whole.num_rows, rows):
+                batch = whole.slice(at, rows)
+                near = batch.column(3).to_numpy()[:, None] >= need.T[batch.column(2).to_numpy()]
+                row, grp = np.nonzero(near)
+                for a in range(0, len(row), 1024):
+                    r, g = row[a : a + 1024], grp[a : a + 1024]
+                    for part in range(int(slices[g].max(initial=0))):  # the group's query blocks
+                        keep = slices[g] > part
+                        to = pa.array(r[keep])
+                        yield pa.RecordBatch.from_arrays([batch.column(0).take(to), batch.column(1).take(to), pa.array(g[keep], pa.int32()), pa.array(np.full(len(to), part), pa.int32())], names=["id", "vec", "grp", "part"])
 
     block_of = F.element_at(F.array(*map(F.lit, blocks)), F.col("grp") + 1) if len(blocks) <= 64 else F.try_element_at(F.lit(blocks), F.col("grp") + 1)
     data = placed.select("id", "vec", "cell", "far").mapInArrow(to_groups, "id long, vec binary, grp int, part int")

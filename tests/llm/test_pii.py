@@ -1,0 +1,77 @@
+import hashlib
+import re
+
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from arkose.llm import pii
+
+RULES = [
+    (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda s: True),
+    (r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda s: all(int(p) <= 255 for p in s.split("."))),
+    (r"[0-9]([\x20-]?[0-9])+", lambda s: 14 <= len(re.sub("[ -]", "", s)) <= 19 and plain_luhn(re.sub("[ -]", "", s))),
+    (r"\+[0-9][\x20().0-9-]+[0-9]", lambda s: 10 <= len(re.sub("[^0-9]", "", s)) <= 15),
+]
+
+
+def plain_luhn(digits):
+    twice = lambda d: sum(map(int, str(2 * d)))
+    return sum(int(c) if i % 2 == 0 else twice(int(c)) for i, c in enumerate(reversed(digits))) % 10 == 0
+
+
+def plain(text):
+    return sorted((m.start(), k, m.end()) for k, (rule, ok) in enumerate(RULES) for m in re.finditer(rule, text) if ok(m[0]))
+
+
+@settings(max_examples=500, deadline=None)
+@given(st.lists(st.sampled_from(["1", "25", "255", ".", "..", "-", " ", "+", "(", ")", "@", "a", "a.b", "@x.y", "é", "%", "4539 1488 0343 6467", "4539148803436467", "1.2.3.4", "+1 (743) 555-3824", "00000255", "256", "\n", "١"]), max_size=16).map("".join))
+def test_base_spans_equal_the_rules(text):
+    assert pii.base_spans(text) == plain(text)
+
+
+def test_long_texts_take_linear_time():
+    for text in ("a" * 400_000, "1" * 400_000, "1." * 200_000, "a@" * 200_000, "+1" * 200_000, "1 " * 200_000, "." * 200_000 + "@"):
+        pii.base_spans(text)
+
+
+def rows():
+    seeds = [f"call me at 10.0.{i}.{i} now" for i in range(1, 13)]
+    hidden = ["Call me at 5550199-22 now.", "call me at AB123456 now"]
+    clean = ["the year 1999 was long", "item 12345678 of the list", "item 87654321 of the list"]
+    texts = seeds + hidden + clean + [None, "", "mail x@y.org or +1 743 555 3824", "mail x@y.org or +1 743 555 3824"]
+    return [(i if i != 2 else None, t, "k") for i, t in enumerate(texts)]
+
+
+def test_contexts_discover_identifiers(spark):
+    df = spark.createDataFrame(rows(), "doc_id long, text string, key string")
+    got = pii.spans(df).collect()
+    assert len(got) == len(rows())
+    found = {r.doc_id: [(s.start, s.end) for s in r.extra] for r in got if r.extra}
+    assert found == {12: [(11, 21)], 13: [(11, 19)]}
+    for r in got:
+        text = rows()[2 if r.doc_id is None else r.doc_id][1] or ""
+        assert [(s.start, pii.KINDS.index(s.kind), s.end) for s in r.base] == plain(text)
+    assert pii.spans(df.limit(0)).collect() == []
+
+
+def test_lists_are_in_order(spark):
+    df = spark.createDataFrame([([(5, "phone", 9), (5, "email", 8), (1, "id", 2), (1, "ip", 3)],), ([],)], "s array<struct<start:long,kind:string,end:long>>")
+    got = [r[0] for r in df.select(pii.listed(df.s)).collect()]
+    assert got == ["ip:1:3,id:1:2,email:5:8,phone:5:9", ""]
+
+
+def test_masked(spark):
+    df = spark.createDataFrame([(*r, 0) for r in rows()], "doc_id long, text string, key string, n_chars long")
+    got = pii.masked(df)
+    assert got.schema == df.schema
+    by = {r.doc_id: r for r in got.collect()}
+    assert len(by) == len(rows())
+    assert by[12].text == "Call me at <ID> now." and by[12].n_chars == len(by[12].text)
+    assert by[0].text == "call me at <IP> now" and by[14].text == rows()[14][1]
+    last = by[len(rows()) - 1]
+    assert last.text == "mail <EMAIL> or <PHONE>"
+    assert by[17].text is None and by[17].n_chars == 0
+
+
+def test_digest():
+    assert hashlib.sha256(b"").hexdigest() == "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"

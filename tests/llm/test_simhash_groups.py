@@ -4,7 +4,7 @@ from arkose.llm import simhash
 def test_one_row_of_each_group(spark):
     a, b, c = "one two three four five", "six seven eight nine ten", "all other words are these here"
     rows = [(5, a, "p"), (5, a, "p"), (7, a, "p"), (5, b, "q"), (9, b, "q"), (None, c, "r"), (None, c, "s"), (None, a, "z"), (None, None, None), (3, "", "e")]
-    df = spark.createDataFrame(rows, "doc_id long, text string, fp string")
+    df = spark.createDataFrame(rows, "doc_id long, text string, n string")
     got = simhash.first_of_groups(df)
     assert got.columns == df.columns
     assert sorted(map(str, got.collect())) == sorted(map(str, spark.createDataFrame([(5, a, "p"), (5, b, "q"), (None, c, "r"), (3, "", "e")], df.schema).collect()))
