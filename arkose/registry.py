@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from arkose.shipping import ship
+
 
 class Registry:
     def __init__(self) -> None:
@@ -18,6 +20,7 @@ class Registry:
 
         def add(f):
             def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+                ship(spark)
                 return f(Tables(spark, sf_dir))
 
             run.__name__, run.__doc__ = f.__name__, f.__doc__
