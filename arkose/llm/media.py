@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from arkose.shipping import shipped
+
 # WAVE format tags; the IMA ADPCM step sizes follow from the rule below.
 TAGS = {"mulaw": 7, "alaw": 6, "adpcm": 17, "pcm": 1}
 CODECS = ("mulaw", "alaw", "adpcm")
@@ -166,6 +168,7 @@ def payload_of(text: str | None) -> bytes:
     return data + b" " * (max(1, -(-len(data) // BLOCK)) * BLOCK - len(data))
 
 
+@shipped
 def store(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", codec: str | None = None) -> DataFrame:
     """Per row: id, n_bytes, media: the payload, unchanged, as the coded samples of a
     WAVE file. Without a given `codec` the payload's CRC-32 chooses among the three.
@@ -199,6 +202,7 @@ def features(codec: str, pcm: np.ndarray, out: np.ndarray) -> str:
     return f"{codec} n={len(x)} peak={int(np.abs(x).max(initial=0))} power={power} changes={changes} pcm16k={zlib.crc32(out.astype('<i2').tobytes()):08x}"
 
 
+@shipped
 def analysed(df: DataFrame, id_col: str = "doc_id", media_col: str = "media", keep: tuple = ("n_bytes",), with_pcm: bool = False, out_rate: int = OUT_RATE) -> DataFrame:
     """Per row, from the stored bytes: id, the columns of `keep`, payload_bytes,
     payload_sha256, tail_crc32, media_bytes, media_sha256, feature, and with `with_pcm`

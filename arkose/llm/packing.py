@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arkose.llm.common import WordLevel, packed
+from arkose.shipping import shipped
 
 LINEAR, QUADRATIC = 1.0, 1.0 / 2048
 
@@ -65,6 +66,7 @@ def plan_block(lengths, seq_len: int) -> tuple[list[tuple[int, int, int, int, in
     return pieces, n_seq + len(caps)
 
 
+@shipped
 def pack(df: DataFrame, path: str, end_id: int = 2, seq_len: int = 4096, id_col: str = "doc_id", text_col: str = "text", block_tokens: int = 4_000_000, with_ids: bool = False) -> DataFrame:
     """Per piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and
     with `with_ids` the piece's ids (little-endian unsigned 32-bit).

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arkose.llm.common import fresh, settled
+from arkose.shipping import shipped
 
 KINDS = ("email", "ip", "card", "phone")
 #: The kind of spans that contexts add; it comes after the others.
@@ -131,6 +132,7 @@ def _key(text: str) -> bytes:
     return hashlib.md5(text.encode(), usedforsecurity=False).digest()
 
 
+@shipped
 def occurrences(df: DataFrame, text_col: str = "text") -> DataFrame:
     """Rows (key, start, end, known, instance, pattern) of all texts; key is the text's MD5."""
 
@@ -182,6 +184,7 @@ def discovered(df: DataFrame, text_col: str = "text") -> DataFrame:
     return settled(spans.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("extra")))
 
 
+@shipped
 def spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, base and extra as arrays of (start, kind, end), in code points.
 
@@ -229,6 +232,7 @@ def masked_text(text: str, extra=()) -> str:
     return "".join(out) + text[at:] if out else text
 
 
+@shipped
 def masked(df: DataFrame, text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
     """`df` with its personal data masked in `text_col`, and `length_col`, if there is
     one, set to the new number of code points. Null texts stay null (length kept)."""

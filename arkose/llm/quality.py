@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from arkose.shipping import shipped
+
 PASSAGE_WORDS = 64
 #: Bounds of what is fitted on: labelled documents (least hashes of their ids first),
 #: and passages of one of them (evenly spaced). Scoring reads every passage of every text.
@@ -237,6 +239,7 @@ def held_out(id_col="doc_id"):
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 4 == 2, F.lit(False))
 
 
+@shipped
 def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model:
     """A model from a bounded sample of the labelled rows that are not held out.
 
@@ -262,6 +265,7 @@ def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return fit([np.frombuffer(bytes(r.x), "<f4").reshape(-1, N_FEATURES) for r in rows], [int(r.y > 0) for r in rows])
 
 
+@shipped
 def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id and score (0 to 1, higher: label 1 likelier), from the whole text.
 
@@ -278,6 +282,7 @@ def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "
     return source.mapInArrow(run, f"id {source.schema['id'].dataType.simpleString()}, score double").withColumnRenamed("id", id_col)
 
 
+@shipped
 def accepted(df: DataFrame, model: Model, threshold: float = 0.7, text_col: str = "text") -> DataFrame:
     """The rows of `df`, with all its columns, whose score is at least the threshold."""
     shared = df.sparkSession.sparkContext.broadcast(model)

@@ -22,6 +22,7 @@ from pyspark.sql import types as T
 
 from arkose.llm.common import settled
 from arkose.llm.graphs import stars
+from arkose.shipping import shipped
 
 SEED, SHINGLE = 42, 4
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
@@ -48,6 +49,7 @@ def fingerprint(text: str | None) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
+@shipped
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id and fp (the fingerprint's bits as a signed long)."""
 
@@ -165,6 +167,7 @@ def forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return root
 
 
+@shipped
 def link_forest(fps: DataFrame, radius: int = 4, blocks: int = 6, block_rows: int = 1024) -> DataFrame:
     """From distinct fingerprints (fp): edges (u, v), each a chain of links within the
     radius, that connect what the links connect."""

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arkose.llm.common import LONGEST_CACHED, ByteLevel, spaced_units, tokenizer
+from arkose.shipping import shipped
 
 FAN_IN = 64
 _SUMMARY = "grp long, units array<string>, counts array<long>"
@@ -31,6 +32,7 @@ def _pruned(counts: Counter, k: int) -> Counter:
     return Counter({u: n - cut for u, n in counts.items() if n > cut})
 
 
+@shipped
 def frequent_units(df: DataFrame, text_col: str = "text", k: int = 8192) -> list[str]:
     """At most k units of at most 64 characters, among them each that makes up over
     1/(k+1) of all units of the corpus. Null texts count as empty."""
@@ -69,6 +71,7 @@ def frequent_units(df: DataFrame, text_col: str = "text", k: int = 8192) -> list
     return sorted({u for r in found for u in r["units"]})
 
 
+@shipped
 def token_counts(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", frequent: int = 8192) -> DataFrame:
     """Per row: id, n_bytes (UTF-8), n_tokens, as the library at `path` gives them
     without added special tokens.

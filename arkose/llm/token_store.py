@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from arkose.llm.common import ByteLevel, packed, settled
+from arkose.shipping import shipped
 
 MAGIC = b"ARKBPLN1"
 _HEAD = struct.Struct("<5Q")
@@ -97,6 +98,7 @@ class Shard:
             at += n
 
 
+@shipped
 def write_tokens(df: DataFrame, path: str, out: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", shard_ids: int = 1_000_000, chunk_ids: int = 65536, planes: int = 4) -> None:
     """Encodes every text, appends `end_id`, and writes shards in ascending id order
     to `out`: rows (part, seq, n_ids, payload), whose order is the ids' order.
@@ -134,6 +136,7 @@ def write_tokens(df: DataFrame, path: str, out: str, end_id: int = 2, id_col: st
     rows.mapInArrow(run, "part int, seq int, n_ids long, payload binary").write.parquet(out)
 
 
+@shipped
 def read_tokens(spark, out: str, with_ids: bool = False) -> DataFrame:
     """Per document, from the files: doc_id, start (ids of all documents before it),
     n_tokens, ids_crc32, and with `with_ids` its ids."""

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from arkose.llm.common import settled
+from arkose.shipping import shipped
 
 #: Bounds of what is collected and broadcast: rows sampled for pivots and first bounds,
 #: pivots, and query groups with a bound for each pivot.
@@ -85,6 +86,7 @@ def _pivots(x: np.ndarray, n: int) -> np.ndarray:
     return p
 
 
+@shipped
 def top_k(df: DataFrame, is_query: Column, k: int = 5, scale: float = 256.0, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """Per query and rank: query_id, rank (from 1), vec_id, score.
 
