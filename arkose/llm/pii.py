@@ -157,7 +157,8 @@ def scored_patterns(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
 
     share is the mean worth of the pattern's distinct instances, support the sum. Known
     instances are worth 1, others 0 at first and then the mean over their patterns of
-    the shares of those that count.
+    the shares of those that count. Each round uses the last one's result once, so the
+    rounds are one plan over the written edges.
     """
     edges = settled(edges.groupBy("pattern", "instance").agg(F.max("known").alias("known")))
     known = edges.groupBy("instance").agg(F.max("known").alias("known"))
@@ -165,11 +166,10 @@ def scored_patterns(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     for r in range(rounds):
         each = edges.select("pattern", "instance").join(worth, "instance")
         patterns = each.groupBy("pattern").agg(F.avg("worth").alias("share"), F.sum("worth").alias("support"))
-        patterns = settled(patterns)
         if r < rounds - 1:
             counting = F.when((F.col("support") >= LEAST_KNOWN) & (F.col("share") >= LEAST_SHARE), F.col("share")).otherwise(0.0)
             better = edges.select("pattern", "instance").join(patterns, "pattern").groupBy("instance").agg(F.avg(counting).alias("mean"))
-            worth = settled(known.join(better, "instance").select("instance", F.when(F.col("known"), 1.0).otherwise(F.col("mean")).alias("worth"), "known"))
+            worth = known.join(better, "instance").select("instance", F.when(F.col("known"), 1.0).otherwise(F.col("mean")).alias("worth"), "known")
     return patterns
 
 
