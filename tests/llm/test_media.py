@@ -73,8 +73,8 @@ def test_payloads_come_back(spark, codec):
     assert media.analysed(media.store(df.limit(0))).collect() == []
 
 
-def test_foreign_bytes_are_refused():
+def test_foreign_bytes_are_refused(spark):
     with pytest.raises(ValueError):
         media.read_wave(b"RIFFxxxxAVI ")
     with pytest.raises(ValueError):
-        media.store(None, codec="mp3")
+        media.store(spark.range(1), codec="mp3")
