@@ -242,7 +242,9 @@ def first_of_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     heads = docs.join(classes, "fp").where("id <=> component_id").groupBy("id").agg(F.count("*").alias("n"))
     heads = settled(heads.select("id", F.when(F.col("id").isNotNull(), F.col("n")).otherwise(2).alias("n")))
     one, many = heads.where("n = 1"), heads.where("n > 1")
-    kept = df.join(one, df[id_col] == one["id"], "left_semi")
+    # Ids and texts meet by a shuffle at every size: ids grow with the documents. Next to
+    # its texts a partition's ids are few, so they are hashed and the texts not sorted.
+    kept = df.join(one.hint("shuffle_hash"), df[id_col] == one["id"], "left_semi")
     if many.isEmpty():
         return kept
     rows = df.join(many, df[id_col].eqNullSafe(many["id"]), "left_semi").select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col(text_col).alias("text"))
