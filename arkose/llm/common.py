@@ -75,7 +75,7 @@ class UnitCache(dict):
     survive one: a full generation becomes the old one, from which hits move back.
     """
 
-    def __init__(self, compute, pinned=None, limit=300_000):
+    def __init__(self, compute, pinned=None, limit=200_000):
         super().__init__(pinned or {})
         self._compute, self._pinned, self._limit, self._old = compute, pinned or {}, limit, {}
 
@@ -110,6 +110,7 @@ def _byte_chars() -> dict[int, str]:
 
 
 _BYTE_CHARS = _byte_chars()
+_SPACE_CHAR = _BYTE_CHARS[32]
 #: Letters for which all versions of Unicode agree, and ASCII marks (fixed values).
 _LETTERS, _MARKS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f", "!-/:-@\\[-`{-~"
 _PLAIN = re.compile(f"([{_LETTERS}]*)([{_MARKS}]*)(?:\n([{_LETTERS}]*)([{_MARKS}]*))?")
@@ -149,23 +150,33 @@ class ByteLevel(_Values):
     def __init__(self, path: str, value, pinned=None):
         super().__init__(path, value)
         self._special = special_strings(path)
-        self._spaced = UnitCache(self._unit, pinned)
+        self._spaced = UnitCache(self._unit, pinned, limit=400_000)
         self._bare = UnitCache(self.whole, limit=50_000)
 
     def _unit(self, unit: str):
+        if unit.isalpha() and unit.isascii():
+            return self._value([t.id for t in self._tok.model.tokenize(_SPACE_CHAR + unit)])
         m = _PLAIN.fullmatch(unit)
         if m is None:
             return self.whole(" " + unit)
         word, marks, word2, marks2 = m.groups()
         pre = self._pre
         if word:
-            value = pre[" " + word] + (pre[marks] if marks else self._zero)
+            if word == unit:
+                return self._model(" " + word)
+            value = self._spaced[word]
+            if marks:
+                value = value + pre[marks]
         elif marks:
             value = pre[" " + marks]
         else:
             return self.whole(" " + unit)
         if word2 is not None:
-            value = value + pre["\n"] + (pre[word2] if word2 else self._zero) + (pre[marks2] if marks2 else self._zero)
+            value = value + pre["\n"]
+            if word2:
+                value = value + pre[word2]
+            if marks2:
+                value = value + pre[marks2]
         return value
 
     def values(self, text: str) -> list:
@@ -191,7 +202,10 @@ class WordLevel(_Values):
         if m is None:
             return self.whole(unit)
         word, marks = m[1], m[2]
-        return (self._pre[word.lower()] if word else self._zero) + (self._pre[marks] if marks else self._zero)
+        if not word:
+            return self._pre[marks] if marks else self._zero
+        value = self._pre[word.lower()]
+        return value + self._pre[marks] if marks else value
 
     def values(self, text: str) -> list:
         return list(map(self._units.__getitem__, text.replace("\n", " ").split(" ")))
