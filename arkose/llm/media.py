@@ -22,6 +22,8 @@ from arkose.shipping import shipped
 TAGS = {"mulaw": 7, "alaw": 6, "adpcm": 17, "pcm": 1}
 CODECS = ("mulaw", "alaw", "adpcm")
 RATE, OUT_RATE = 8000, 16000
+#: Rows that are coded or decoded together.
+ROWS = 512
 #: Bytes of an ADPCM block: a 4-byte head with the first sample, then 2 samples a byte.
 BLOCK = 192
 # The change of the step index for each 3-bit magnitude, the 89 steps.
@@ -168,6 +170,13 @@ def payload_of(text: str | None) -> bytes:
     return data + b" " * (max(1, -(-len(data) // BLOCK)) * BLOCK - len(data))
 
 
+def slices(batches):
+    """The batches cut to at most ROWS rows, which bounds what a worker holds."""
+    for batch in batches:
+        for a in range(0, batch.num_rows, ROWS):
+            yield batch.slice(a, ROWS)
+
+
 @shipped
 def store(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", codec: str | None = None) -> DataFrame:
     """Per row: id, n_bytes, media: the payload, unchanged, as the coded samples of a
@@ -180,14 +189,13 @@ def store(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", codec:
         raise ValueError(f"codec is one of {CODECS}")
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             n, media = [], []
             for text in batch.column(1).to_pylist():
                 data = payload_of(text)
                 n.append(len((text or "").encode()))
                 media.append(wave(codec or CODECS[zlib.crc32(data) % 3], data))
-            for a in range(0, len(n), 512):
-                yield pa.RecordBatch.from_arrays([batch.column(0)[a : a + 512], pa.array(n[a : a + 512], pa.int64()), pa.array(media[a : a + 512], pa.binary())], names=["id", "n_bytes", "media"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(media, pa.binary())], names=["id", "n_bytes", "media"])
 
     source = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     return source.mapInArrow(run, f"id {source.schema['id'].dataType.simpleString()}, n_bytes long, media binary").withColumnRenamed("id", id_col)
@@ -213,7 +221,7 @@ def analysed(df: DataFrame, id_col: str = "doc_id", media_col: str = "media", ke
     source = df.select(F.col(id_col).alias("id"), F.col(media_col).alias("media"), *keep)
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             media = batch.column(1).to_pylist()
             there = [i for i, m in enumerate(media) if m is not None]
             found: list = [(None,) * (len(names) - 1 - len(keep))] * len(media)
