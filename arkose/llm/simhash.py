@@ -231,14 +231,15 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return docs.join(classes, "fp").select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def first_of_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+def first_of_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", classes_of=_classes, marks=fingerprints, **options) -> DataFrame:
     """`df`, with all its columns, cut to one row of each group of near-duplicates: a row
     with the group's least id (null only where all are).
 
     Where several rows have that id, the one that is least as JSON stays. Only rows whose
     id is null or not unique are compared; the others are kept or not by their id alone.
+    Groups are those of `near_duplicates`, or of another pair of functions like its own.
     """
-    docs, classes = _classes(df, id_col, text_col, **options)
+    docs, classes = classes_of(df, id_col, text_col, **options)
     heads = docs.join(classes, "fp").where("id <=> component_id").groupBy("id").agg(F.count("*").alias("n"))
     heads = settled(heads.select("id", F.when(F.col("id").isNotNull(), F.col("n")).otherwise(2).alias("n")))
     one, many = heads.where("n = 1"), heads.where("n > 1")
@@ -248,6 +249,6 @@ def first_of_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     if many.isEmpty():
         return kept
     rows = df.join(many, df[id_col].eqNullSafe(many["id"]), "left_semi").select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col(text_col).alias("text"))
-    rows = fingerprints(rows, "row", "text").join(classes, "fp").where(F.col(f"row.`{id_col}`").eqNullSafe(F.col("component_id")))
+    rows = marks(rows, "row", "text").join(classes, "fp").where(F.col(f"row.`{id_col}`").eqNullSafe(F.col("component_id")))
     first = rows.groupBy("root").agg(F.min_by("row", F.to_json("row")).alias("row"))
     return kept.union(first.select(*[F.col(f"row.`{c}`").alias(c) for c in df.columns]))
