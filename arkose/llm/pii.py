@@ -27,7 +27,6 @@ ROUNDS = 3
 #: A pattern counts if so many known instances have it and at least this share of all
 #: its instances is known; the share for the last step.
 LEAST_KNOWN, LEAST_SHARE, SURE = 3, 0.5, 0.8
-LEAST_DIGITS = 6
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -92,8 +91,8 @@ def _word(raw: str) -> str:
 
 
 def contexts(text: str, spans) -> list[tuple[int, int, str, bool, list[int]]]:
-    """(start, end, instance, known, pattern hashes) of the base spans and of other
-    tokens that hold at least LEAST_DIGITS digits and lie clear of all base spans."""
+    """(start, end, instance, known, pattern hashes) of the base spans, of other tokens
+    that hold a digit and lie clear of all base spans, and of runs of such tokens."""
     if not spans and not _DIGIT.search(text):
         return []
     tokens = [(m.start(), m.end()) for m in _TOKEN.finditer(text)]
@@ -113,18 +112,29 @@ def contexts(text: str, spans) -> list[tuple[int, int, str, bool, list[int]]]:
     taken = sorted((a, b) for a, _, b in spans)
     for a, b in taken:
         add(a, b, True)
+    run: list[tuple[int, int]] = []
+
+    def close():
+        if len(run) > 1:
+            add(run[0][0], run[-1][1], False)
+        run.clear()
+
     for a, b in tokens:
         piece = text[a:b]
         left = len(piece) - len(piece.lstrip(_EDGE))
         core = piece.strip(_EDGE)
-        if len(_DIGIT.findall(core)) < LEAST_DIGITS:
+        if not _DIGIT.search(core):
+            close()
             continue
         a, b = a + left, a + left + len(core)
         while at < len(taken) and taken[at][1] <= a:
             at += 1
         if any(x < b and y > a for x, y in taken[at:]):
+            close()
             continue
+        run.append((a, b))
         add(a, b, False)
+    close()
     return out
 
 
@@ -175,13 +185,15 @@ def scored_patterns(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
 
 def discovered(df: DataFrame, text_col: str = "text") -> DataFrame:
     """(key, extra): the spans that contexts add to the texts with this MD5, as an array
-    of (start, end) in order. Texts without any are left out. The result is a written
+    of (start, end) in order, without those inside others. Texts without any are left out. The result is a written
     table, so its size is known where it is joined."""
     seen = settled(occurrences(df, text_col).distinct())
     patterns = scored_patterns(seen.select("pattern", "instance", "known"))
     sure = patterns.where((F.col("support") >= LEAST_KNOWN) & (F.col("share") >= SURE)).select("pattern")
     spans = seen.where(~F.col("known")).join(sure, "pattern").select("key", "start", "end").distinct()
-    return settled(spans.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("extra")))
+    found = spans.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("extra"))
+    inside = lambda s, t: (t["start"] <= s["start"]) & (s["end"] <= t["end"]) & (s != t)
+    return settled(found.select("key", F.filter("extra", lambda s: ~F.exists("extra", lambda t: inside(s, t))).alias("extra")))
 
 
 @shipped

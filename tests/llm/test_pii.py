@@ -75,3 +75,13 @@ def test_masked(spark):
 
 def test_digest():
     assert hashlib.sha256(b"").hexdigest() == "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"
+
+
+def test_short_and_grouped_identifiers_are_found(spark):
+    seeds = [f"call me at 10.0.{i}.{i} now" for i in range(1, 13)]
+    texts = [*seeds, "call me at 4711 now", "call me at AB12 now", "call me at DE89 3704 0044 0532 now", "item 4711 of 12 34 56 here"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: [(s.start, s.end) for s in r.extra] for r in pii.spans(df).collect() if r.extra}
+    assert found == {12: [(11, 15)], 13: [(11, 15)], 14: [(11, 30)]}
+    by = {r.doc_id: r.text for r in pii.masked(df).collect()}
+    assert by[14] == "call me at <ID> now" and by[15] == texts[15]
