@@ -103,7 +103,7 @@ def contexts(text: str, spans) -> list[tuple[int, int, str, bool, list[int]]]:
 
     def add(start, end, known):
         i, j = bisect_right(starts, start) - 1, bisect_left(starts, end)
-        word = lambda k: _word(text[slice(*tokens[k])])[:64] if 0 <= k < len(tokens) else "^"
+        word = lambda k: _word(text[slice(*tokens[k])]) if 0 <= k < len(tokens) else "^"
         l1 = word(i - 1)
         names = ("2\0" + word(i - 2) + "\0" + l1, "1\0" + l1 + "\0" + word(j))
         out.append((start, end, text[start:end].lower(), known, [xxhash.xxh64_intdigest(n.encode()) - (1 << 63) for n in names]))

@@ -85,3 +85,8 @@ def test_short_and_grouped_identifiers_are_found(spark):
     assert found == {12: [(11, 15)], 13: [(11, 15)], 14: [(11, 30)]}
     by = {r.doc_id: r.text for r in pii.masked(df).collect()}
     assert by[14] == "call me at <ID> now" and by[15] == texts[15]
+
+
+def test_long_context_words_are_told_apart():
+    a, b = (pii.contexts(f"see {'u' * 64}{x} 12345678 now", [])[0][4] for x in "ab")
+    assert not set(a) & set(b)
