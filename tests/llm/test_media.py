@@ -78,3 +78,13 @@ def test_foreign_bytes_are_refused(spark):
         media.read_wave(b"RIFFxxxxAVI ")
     with pytest.raises(ValueError):
         media.store(spark.range(1), codec="mp3")
+
+
+def test_query_stores_the_media_and_the_resampled_pcm(spark, monkeypatch):
+    from arkose.llm import common, queries
+
+    sf, written, settled = "/root/testdata/sf0.001", [], common.settled
+    monkeypatch.setattr(common, "settled", lambda df: written.append(settled(df)) or written[-1])
+    got = sorted(queries.op3_telephony(spark, sf).collect())
+    assert any("media" in d.columns for d in written) and any("pcm" in d.columns for d in written)
+    assert got == sorted(media.analysed(media.store(common.table(spark, sf, "documents"))).collect())
