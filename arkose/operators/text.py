@@ -1,4 +1,4 @@
-"""Text tables: exact copies, shared passages, masks, pages, vectors, turns."""
+"""Text tables: exact copies, shared passages, pages, vectors, turns."""
 
 from __future__ import annotations
 
