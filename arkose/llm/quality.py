@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from arkose.llm.common import settled
 from arkose.shipping import shipped
 
 PASSAGE_WORDS = 64
@@ -245,7 +246,8 @@ def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     Null labels and ids are left out; several labels of an id count as their least; a
     null text counts as empty. Sampled are the TRAIN_DOCS ids of least hash, and of the
-    rows with these ids at most TRAIN_DOCS.
+    rows with these ids at most TRAIN_DOCS, and no more than have TRAIN_DOCS *
+    TRAIN_PASSAGES passages together; of each row that is taken, all passages.
     """
     named = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("y")).where("id is not null and y is not null")
     named = named.where(~held_out("id")).groupBy("id").agg(F.min("y").cast("int").alias("y"))
@@ -253,15 +255,17 @@ def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     def run(batches):
         for batch in batches:
-            found = []
-            for x in bags(batch.column(1).to_pylist()):
-                at = np.unique(np.linspace(0, len(x) - 1, min(len(x), TRAIN_PASSAGES)).astype(int))
-                found.append(x[at].astype("<f4").tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(found, pa.binary())], names=["id", "y", "x"])
+            found = list(bags(batch.column(1).to_pylist()))
+            x = [f.astype("<f4").tobytes() for f in found]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(map(len, found), pa.int32()), pa.array(x, pa.binary())], names=["id", "y", "n", "x"])
 
     docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(named), "id").select("id", "text", "y")
     kind = docs.schema["id"].dataType.simpleString()
-    rows = docs.mapInArrow(run, f"id {kind}, y int, x binary").orderBy(F.xxhash64("id"), "id", F.xxhash64("x")).limit(TRAIN_DOCS).collect()
+    rows = settled(docs.mapInArrow(run, f"id {kind}, y int, n int, x binary"))
+    order = F.xxhash64("id"), "id", F.xxhash64("x")
+    sizes = [r.n for r in rows.select("n", F.xxhash64("id").alias("a"), "id", F.xxhash64("x").alias("b")).orderBy("a", "id", "b").limit(TRAIN_DOCS).select("n").collect()]
+    fitting = int((np.cumsum(sizes) <= TRAIN_DOCS * TRAIN_PASSAGES).sum())
+    rows = rows.orderBy(*order).limit(fitting).collect()
     return fit([np.frombuffer(bytes(r.x), "<f4").reshape(-1, N_FEATURES) for r in rows], [int(r.y > 0) for r in rows])
 
 

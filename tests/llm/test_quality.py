@@ -74,3 +74,13 @@ def test_gradients():
         b[0, 0] = 6 if y else -6
     model = quality.fit(bags, labels)
     assert all((quality._clipped(model, b.astype(np.float64)) >= 0.5) == bool(y) for b, y in zip(bags, labels))
+
+
+def test_fitting_sees_all_passages(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(quality, "fit", lambda x, y: seen.extend(map(len, x)))
+    text = "some words of a long text " * 3000
+    df = spark.createDataFrame([(i, text) for i in range(8)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(8)], "doc_id long, quality int")
+    quality.train(df, labels)
+    assert seen and set(seen) == {len(next(iter(quality.bags([text]))))} and seen[0] > 32
