@@ -10,6 +10,7 @@ from array import array
 from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 #: White space as the tokenizers' regex engine sees it (fixed values).
 WS = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"  # as in a character class
@@ -24,17 +25,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A fresh folder under spark.checkpoint.dir, which driver and executors share.
+    """A fresh folder under spark.checkpoint.dir (or the folder of setCheckpointDir),
+    which driver and executors share.
 
-    Where the session has none (tests on one machine), one is made and set.
+    Where neither is set, a session on one machine (tests) gets a temporary folder; on a
+    cluster that is an error, as executors would not share it.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
-        root = getattr(shared_dir, "own", None)
-        if root is None:
-            root = shared_dir.own = "file://" + tempfile.mkdtemp(prefix="arkose-")
-        if spark.sparkContext.getCheckpointDir() is None:
-            spark.sparkContext.setCheckpointDir(root)
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = shared_dir.own = getattr(shared_dir, "own", None) or "file://" + tempfile.mkdtemp(prefix="arkose-")
     return f"{root}/arkose/{uuid.uuid4().hex}"
 
 
@@ -46,12 +47,31 @@ def fresh(df: DataFrame, stem: str) -> str:
     return stem
 
 
-def settled(df: DataFrame) -> DataFrame:
+def settled(df: DataFrame, compression: str = "snappy") -> DataFrame:
     """`df` written to the shared folder and read again: lineage ends here, and the
-    result survives the loss of any executor."""
-    path = shared_dir(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    result survives the loss of any executor. Its columns' names are kept, whatever
+    they are."""
+    path, names = shared_dir(df.sparkSession), [f"c{i}" for i in range(len(df.columns))]
+    plain = df.toDF(*names)
+    plain.write.option("compression", compression).parquet(path)
+    out = df.sparkSession.read.schema(plain.schema).parquet(path).toDF(*df.columns)
+    out._arkose_path = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Removes what `settled` has written of tables that nothing reads any more."""
+    for df in tables:
+        jvm = df.sparkSession._jvm
+        path = jvm.org.apache.hadoop.fs.Path(df._arkose_path)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def mapped(df: DataFrame, run, schema: T.StructType) -> DataFrame:
+    """mapInArrow on columns of any name: `run` gets and gives them as c0, c1, ..., and
+    `schema` has the names of the result."""
+    inner = T.StructType([T.StructField(f"c{i}", f.dataType, f.nullable) for i, f in enumerate(schema)])
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))]).mapInArrow(run, inner).toDF(*schema.names)
 
 
 @lru_cache(maxsize=4)

@@ -13,6 +13,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,8 +23,8 @@ from arkose.shipping import shipped
 TAGS = {"mulaw": 7, "alaw": 6, "adpcm": 17, "pcm": 1}
 CODECS = ("mulaw", "alaw", "adpcm")
 RATE, OUT_RATE = 8000, 16000
-#: Rows that are coded or decoded together.
-ROWS = 512
+#: Rows, and bytes of them, that are coded or decoded together.
+ROWS, BYTES = 512, 4 << 20
 #: Bytes of an ADPCM block: a 4-byte head with the first sample, then 2 samples a byte.
 BLOCK = 192
 # The change of the step index for each 3-bit magnitude, the 89 steps.
@@ -171,10 +172,16 @@ def payload_of(text: str | None) -> bytes:
 
 
 def slices(batches):
-    """The batches cut to at most ROWS rows, which bounds what a worker holds."""
+    """The batches cut to at most ROWS rows and about BYTES bytes of their second column
+    (one row at least), which bounds what a worker holds."""
     for batch in batches:
-        for a in range(0, batch.num_rows, ROWS):
-            yield batch.slice(a, ROWS)
+        size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        a = 0
+        while a < batch.num_rows:
+            b = int(np.searchsorted(size, (size[a - 1] if a else 0) + BYTES, "right"))
+            b = min(max(b, a + 1), a + ROWS)
+            yield batch.slice(a, b - a)
+            a = b
 
 
 @shipped
@@ -214,9 +221,12 @@ def features(codec: str, pcm: np.ndarray, out: np.ndarray) -> str:
 def analysed(df: DataFrame, id_col: str = "doc_id", media_col: str = "media", keep: tuple = ("n_bytes",), with_pcm: bool = False, out_rate: int = OUT_RATE) -> DataFrame:
     """Per row, from the stored bytes: id, the columns of `keep`, payload_bytes,
     payload_sha256, tail_crc32, media_bytes, media_sha256, feature, and with `with_pcm`
-    the decoded sound as a WAVE file of 16-bit PCM at `out_rate`.
+    the column pcm: the decoded sound, resampled, as a WAVE file of 16-bit PCM at
+    `out_rate`. Writing the result stores it.
 
-    A null medium gives null in every column made from it.
+    A null medium gives null in every column made from it; a null id is kept; repeated
+    rows each give a row; an empty table gives no row; a medium of any length is decoded
+    whole. Columns that are not named in `keep` are left out, whatever their names.
     """
     source = df.select(F.col(id_col).alias("id"), F.col(media_col).alias("media"), *keep)
 

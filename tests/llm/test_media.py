@@ -80,11 +80,54 @@ def test_foreign_bytes_are_refused(spark):
         media.store(spark.range(1), codec="mp3")
 
 
+def plain_samples(codec, data):
+    """Of coded samples, one at a time, by the rules of the codings."""
+    if codec == "adpcm":
+        return [x for at in range(0, len(data), media.BLOCK) for x in plain_adpcm(data[at : at + media.BLOCK])]
+    out = []
+    for b in data:
+        if codec == "mulaw":
+            b ^= 255
+            x = (((b & 15) * 8 + 132) << (b >> 4 & 7)) - 132
+            out.append(-x if b & 128 else x)
+        else:
+            b ^= 0x55
+            e, m = b >> 4 & 7, b & 15
+            x = 16 * m + 8 if e == 0 else (16 * m + 264) << (e - 1)
+            out.append(x if b & 128 else -x)
+    return out
+
+
 def test_query_stores_the_media_and_the_resampled_pcm(spark, monkeypatch):
     from arkose.llm import common, queries
 
     sf, written, settled = "/root/testdata/sf0.001", [], common.settled
-    monkeypatch.setattr(common, "settled", lambda df: written.append(settled(df)) or written[-1])
-    got = sorted(queries.op3_telephony(spark, sf).collect())
-    assert any("media" in d.columns for d in written) and any("pcm" in d.columns for d in written)
-    assert got == sorted(media.analysed(media.store(common.table(spark, sf, "documents"))).collect())
+    monkeypatch.setattr(common, "settled", lambda df, *a: written.append(settled(df, *a)) or written[-1])
+    got = {r.doc_id: r for r in queries.op3_telephony(spark, sf).collect()}
+    files = {r.doc_id: bytes(r.media) for r in written[0].collect()}
+    docs = common.table(spark, sf, "documents").collect()
+    assert len(got) == len(docs) == len(files)
+    for d in docs:
+        raw = (d.text or "").encode()
+        data = raw + b" " * (-len(raw) % 192 or (0 if raw else 192))
+        codec = media.CODECS[zlib.crc32(data) % 3]
+        r, file = got[d.doc_id], files[d.doc_id]
+        assert file == media.wave(codec, data)
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-16:]))
+        assert (r.media_bytes, r.media_sha256) == (len(file), hashlib.sha256(file).hexdigest())
+        x = plain_samples(codec, data)
+        between = [(a + b + 1) >> 1 for a, b in zip(x, x[1:] + x[-1:])]
+        pcm = np.array([v for pair in zip(x, between) for v in pair], "<i2").tobytes()
+        assert media.read_wave(bytes(r.pcm)) == ("pcm", 16000, 2, pcm)
+        power, changes = sum(v * v for v in x) // len(x), sum((a < 0) != (b < 0) for a, b in zip(x, x[1:]))
+        assert r.feature == f"{codec} n={len(x)} peak={max(map(abs, x))} power={power} changes={changes} pcm16k={zlib.crc32(pcm):08x}"
+
+
+def test_slices_bound_rows_and_bytes():
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array(range(5)), pa.array(["x" * media.BYTES, None, "a", "y" * media.BYTES, "b"])], names=["id", "text"])
+    parts = [b.column(0).to_pylist() for b in media.slices([batch])]
+    assert parts == [[0, 1], [2], [3], [4]]
+    many = pa.RecordBatch.from_arrays([pa.array(range(1300)), pa.array(["t"] * 1300)], names=["id", "text"])
+    assert [b.num_rows for b in media.slices([many])] == [512, 512, 276]
