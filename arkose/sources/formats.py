@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -15,10 +16,13 @@ R = Registry()
 
 
 def scratch(spark) -> str:
-    """A fresh folder that driver and executors share: under spark.checkpoint.dir, or,
-    where the session has none (tests), under a temporary folder."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    """A fresh folder that driver and executors share: under spark.checkpoint.dir (or the
+    folder of setCheckpointDir). Where neither is set, a session on one machine (tests)
+    gets a temporary folder; on a cluster that is an error."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = scratch.own = getattr(scratch, "own", None) or "file://" + tempfile.mkdtemp(prefix="arkose-")
     return f"{root}/scratch/{uuid.uuid4().hex}"
 
