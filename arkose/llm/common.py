@@ -10,6 +10,7 @@ from array import array
 from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: White space as the tokenizers' regex engine sees it (fixed values).
@@ -67,6 +68,11 @@ def forget(*tables: DataFrame) -> None:
         path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def typed(df: DataFrame, column: str, rest: str) -> T.StructType:
+    """A schema of a column of `df`, whatever its type, and the columns of a DDL string."""
+    return T.StructType([T.StructField(column, df.schema[column].dataType), *T.StructType.fromDDL(rest)])
+
+
 def mapped(df: DataFrame, run, schema: T.StructType) -> DataFrame:
     """mapInArrow on columns of any name: `run` gets and gives them as c0, c1, ..., and
     `schema` has the names of the result."""
@@ -74,6 +80,24 @@ def mapped(df: DataFrame, run, schema: T.StructType) -> DataFrame:
     return df.toDF(*[f"c{i}" for i in range(len(df.columns))]).mapInArrow(run, inner).toDF(*schema.names)
 
 
+def parted(df: DataFrame, key, keys: DataFrame, bits: int = 24) -> tuple[DataFrame, DataFrame]:
+    """Rows of `df` whose key may be one of `keys` (a table of one column), and the rows
+    whose key is none of them. No row is shuffled for it.
+
+    The keys set bits of a filter of 2^bits bits. It is joined as a table of at most
+    2^(bits - 6) rows, which bounds what is broadcast whatever the number of keys; with
+    very many keys the first part grows to all rows, and is still right.
+    """
+    bit = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << bits))
+    mine, of = bit(key), bit(F.col(keys.columns[0]))
+    words = keys.groupBy(F.shiftright(of, 6).alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (of % 64).cast("int"))).alias("bits"))
+    w, b = fresh(df, "w"), fresh(df, "bits")
+    marked = df.join(F.broadcast(settled(words).toDF(w, b)), F.shiftright(mine, 6) == F.col(w), "left")
+    hit = F.coalesce(F.getbit(F.col(b), (mine % 64).cast("int")) == 1, F.lit(False))
+    columns = [F.col(f"`{c}`") for c in df.columns]
+    return marked.where(hit).select(columns), marked.where(~hit).select(columns)
+
+
 @lru_cache(maxsize=4)
 def tokenizer(path: str):
     """The tokenizer of a .json file, loaded once in each worker."""

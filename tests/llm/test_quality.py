@@ -1,3 +1,4 @@
+import math
 import random
 import zlib
 
@@ -41,7 +42,12 @@ def test_without_labels_or_rows(spark):
     model = quality.train(df, none)
     assert model.weights is None and {r.score for r in quality.score(df, model).collect()} == {0.5}
     assert quality.score(df.limit(0), model).collect() == []
-    assert quality.accepted(df, model).collect() == []
+    assert quality.accepted(df, model).count() == 2  # nothing to tell them apart by
+    one_kind = spark.createDataFrame([(1, 0), (2, 0)], "doc_id long, quality int")
+    assert quality.accepted(df, quality.train(df, one_kind)).count() == 2
+    strangers = spark.createDataFrame([(i, i % 2) for i in range(50, 90)], "doc_id long, quality int")
+    assert quality.train(df, strangers).weights is None
+    assert quality.train(df.limit(0), strangers).weights is None
 
 
 def test_accepted_keeps_rows_whole(spark):
@@ -65,15 +71,70 @@ def test_repeats_and_classes_are_seen():
     assert counts.tolist() == [1, 1, 1] and x[0, lag] == 0.75 and x[1, lag] == 0 and not x[2].any()
 
 
-def test_gradients():
-    """The training step follows the loss: it falls, and the classes part."""
+def toy(n=60):
     rng = np.random.default_rng(0)
-    bags = [rng.normal(0, 1, (rng.integers(1, 5), quality.N_FEATURES)).astype("<f4") for _ in range(60)]
-    labels = [i % 2 for i in range(60)]
+    bags = [rng.normal(0, 1, (rng.integers(1, 5), quality.N_FEATURES)).astype("<f4") for _ in range(n)]
+    labels = [i % 2 for i in range(n)]
     for b, y in zip(bags, labels):
         b[0, 0] = 6 if y else -6
+    return bags, labels
+
+
+def plain_score(model, bag):
+    """Gated attention as its formula says, one passage and one unit at a time."""
+    w = model.weights
+    sig = lambda v: 1 / (1 + math.exp(-v))
+    dot = lambda u, m, j: sum(float(u[i]) * float(m[i][j]) for i in range(len(u)))
+    hs, gates = [], []
+    for x in bag:
+        x = [max(-10, min(10, (float(v) - m) / s)) for v, m, s in zip(x, w["mean"], w["std"])]
+        h = [math.tanh(dot(x, w["W"], j) + w["b"][j]) for j in range(quality.HIDDEN)]
+        hs.append(h)
+        gates.append(sum(w["a"][j] * math.tanh(dot(h, w["V"], j)) * sig(dot(h, w["U"], j)) for j in range(quality.GATES)))
+    e = [math.exp(g) for g in gates]
+    z = [sum(a * h[j] for a, h in zip(e, hs)) / sum(e) for j in range(quality.HIDDEN)]
+    return sig(sum(v * c for v, c in zip(z, w["c"])) + float(w["c0"]))
+
+
+def test_training_parts_the_classes_and_scores_as_the_formula_says():
+    bags, labels = toy()
     model = quality.fit(bags, labels)
-    assert all((quality._clipped(model, b.astype(np.float64)) >= 0.5) == bool(y) for b, y in zip(bags, labels))
+    assert all((model.score(b) >= 0.5) == bool(y) for b, y in zip(bags, labels))
+    for b in [*bags[:12], np.zeros((1, quality.N_FEATURES), "<f4"), np.concatenate(bags)]:
+        assert abs(model.score(b) - plain_score(model, b)) < 1e-9
+
+
+def test_gradients_equal_differences_of_the_loss():
+    bags, labels = toy(7)
+    rng = np.random.default_rng(3)
+    w = {k: v + rng.normal(0, 0.3, v.shape) for k, v in quality.first_weights(rng, 0.6).items()}
+    args = np.concatenate(bags).astype(float), np.array([len(b) for b in bags]), np.array(labels, float), 1e-2
+    loss, grads = quality.loss_and_gradients(w, *args)
+    for k, v in w.items():
+        for at in rng.integers(0, v.size, 6):
+            ends = []
+            for step in (1e-5, -1e-5):
+                moved = np.array(v, float)
+                moved.reshape(-1)[at] += step
+                ends.append(quality.loss_and_gradients(w | {k: moved}, *args)[0])
+            assert abs((ends[0] - ends[1]) / 2e-5 - np.asarray(grads[k]).reshape(-1)[at]) < 1e-6, k
+
+
+def test_passages_go_on_across_pieces(monkeypatch):
+    rng = random.Random(9)
+    texts = [" ".join("".join(rng.choices("abcD1.é", k=rng.randint(1, 9))) for _ in range(n)) for n in (5, 64, 65, 1000, 3000)]
+    texts += ["  " + texts[3] + " \n ", "w" * 5000 + " " + texts[2], "y " * 63 + "z" * 4000 + " " + texts[3], " " * 3000, "v" * 9000]
+    whole = [quality.passages([t.encode()])[0] for t in texts]
+    monkeypatch.setattr(quality, "PIECE", 700)
+    for one, pieces in zip(whole, quality.bags(texts)):
+        assert one.shape == pieces.shape and np.allclose(one, pieces)
+
+
+def test_columns_of_any_name(spark):
+    df = spark.createDataFrame([(1, "fine", 2, "x")], ["doc_id", "text", "a.b", "c0"])
+    model = quality.fit(*toy())
+    got = quality.accepted(df, model, threshold=0.0)
+    assert got.columns == df.columns and got.collect() == df.collect()
 
 
 def test_fitting_sees_all_passages(spark, monkeypatch):
