@@ -1,10 +1,12 @@
-"""Personal data: four kinds by their form, others by bootstrapped contexts.
-
-The spans found by form are the seeds. Each seed, and each other token with digits that
-might be an identifier, is an instance; the words around it are its patterns. Spark
-scores the graph of patterns and instances in rounds: a pattern is as good as the share
-of its instances that are known, an instance as good as the mean of its patterns. The
-tokens in contexts of the patterns that end with high confidence are new spans.
+"""Personal data: four kinds by their form, secrets, and others by bootstrapped contexts.
+
+The spans found by form are the seeds: e-mail and IP addresses, card and phone numbers,
+and secrets of forms that hardly anything else has (long hexadecimal keys, tokens with
+the usual prefixes). Each seed, and each other token with digits that might be an
+identifier, is an instance; the words around it are its patterns. Spark scores the graph
+of patterns and instances in rounds: a pattern is as good as the share of its instances
+that are known, an instance as good as the mean of its patterns. The tokens in contexts
+of the patterns that end with high confidence are new spans.
 """
 
 from __future__ import annotations
@@ -17,12 +19,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arkose.llm.common import fresh, settled
+from arkose.llm.common import forget, fresh, mapped, parted, settled, typed
 from arkose.shipping import shipped
 
 KINDS = ("email", "ip", "card", "phone")
-#: The kind of spans that contexts add; it comes after the others.
-FOUND = "id"
+#: Kinds that are added to these and come after them: secrets by form, and what contexts find.
+SECRET, FOUND = "secret", "id"
+ALL_KINDS = (*KINDS, SECRET, FOUND)
 ROUNDS = 3
 #: A pattern counts if so many known instances have it and at least this share of all
 #: its instances is known; the share for the last step.
@@ -36,6 +39,12 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 _TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
+# Forms of secrets (hexadecimal keys of 32 digits or more, of both letters
+# and digits; access keys, tokens and web tokens by their prefixes).
+_SECRET = re.compile(
+    r"(?<![A-Za-z0-9])(?:(?=[0-9]*[A-Fa-f])(?=[A-Fa-f]*[0-9])[0-9A-Fa-f]{32,}+|AKIA[0-9A-Z]{16}|gh[opsru]_[A-Za-z0-9]{36,}+|sk-[A-Za-z0-9]{20,}+"
+    r"|eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+)(?![A-Za-z0-9])"
+)
 _EDGE = ".,;:!?\"'`()[]{}<>|*$%&#=+-/\\"
 
 
@@ -86,13 +95,37 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return found
 
 
+class _Clear:
+    """Tells, for stretches that come in order, which lie clear of the given spans."""
+
+    def __init__(self, spans):
+        self._ends: list[list[int]] = []
+        for a, b in sorted(spans):
+            if self._ends and a < self._ends[-1][1]:
+                self._ends[-1][1] = max(b, self._ends[-1][1])
+            else:
+                self._ends.append([a, b])
+        self._at = 0
+
+    def __call__(self, a: int, b: int) -> bool:
+        while self._at < len(self._ends) and self._ends[self._at][1] <= a:
+            self._at += 1
+        return self._at == len(self._ends) or self._ends[self._at][0] >= b
+
+
+def secret_spans(text: str, base) -> list[tuple[int, int]]:
+    """(start, end) of secrets by form that lie clear of the base spans."""
+    clear = _Clear((a, b) for a, _, b in base)
+    return [m.span() for m in _SECRET.finditer(text) if clear(*m.span())]
+
+
 def _word(raw: str) -> str:
     return raw.strip(_EDGE).lower() or raw
 
 
 def contexts(text: str, spans) -> list[tuple[int, int, str, bool, list[int]]]:
-    """(start, end, instance, known, pattern hashes) of the base spans, of other tokens
-    that hold a digit and lie clear of all base spans, and of runs of such tokens."""
+    """(start, end, instance, known, pattern hashes) of the seeds, of other tokens that hold
+    a digit and lie clear of all seeds, and of runs of such tokens."""
     if not spans and not _DIGIT.search(text):
         return []
     tokens = [(m.start(), m.end()) for m in _TOKEN.finditer(text)]
@@ -108,10 +141,10 @@ def contexts(text: str, spans) -> list[tuple[int, int, str, bool, list[int]]]:
         names = ("2\0" + word(i - 2) + "\0" + l1, "1\0" + l1 + "\0" + word(j))
         out.append((start, end, text[start:end].lower(), known, [xxhash.xxh64_intdigest(n.encode()) - (1 << 63) for n in names]))
 
-    at = 0
     taken = sorted((a, b) for a, _, b in spans)
     for a, b in taken:
         add(a, b, True)
+    clear = _Clear(taken)
     run: list[tuple[int, int]] = []
 
     def close():
@@ -127,9 +160,7 @@ def contexts(text: str, spans) -> list[tuple[int, int, str, bool, list[int]]]:
             close()
             continue
         a, b = a + left, a + left + len(core)
-        while at < len(taken) and taken[at][1] <= a:
-            at += 1
-        if any(x < b and y > a for x, y in taken[at:]):
+        if not clear(a, b):
             close()
             continue
         run.append((a, b))
@@ -152,7 +183,9 @@ def occurrences(df: DataFrame, text_col: str = "text") -> DataFrame:
             for text in batch.column(0).to_pylist():
                 if text:
                     key = None
-                    for a, b, instance, known, patterns in contexts(text, base_spans(text)):
+                    base = base_spans(text)
+                    seeds = base + [(a, len(KINDS), b) for a, b in secret_spans(text, base)]
+                    for a, b, instance, known, patterns in contexts(text, seeds):
                         key = key or _key(text)
                         h = xxhash.xxh64_intdigest(instance.encode()) - (1 << 63)
                         rows += [(key, a, b, known, h, p) for p in patterns]
@@ -170,7 +203,7 @@ def scored_patterns(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     the shares of those that count. Each round uses the last one's result once, so the
     rounds are one plan over the written edges.
     """
-    edges = settled(edges.groupBy("pattern", "instance").agg(F.max("known").alias("known")))
+    edges = settled(edges.groupBy("pattern", "instance").agg(F.max("known").alias("known")))  # read until the result is
     known = edges.groupBy("instance").agg(F.max("known").alias("known"))
     worth = known.select("instance", F.col("known").cast("double").alias("worth"), "known")
     for r in range(rounds):
@@ -185,45 +218,56 @@ def scored_patterns(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
 
 def discovered(df: DataFrame, text_col: str = "text") -> DataFrame:
     """(key, extra): the spans that contexts add to the texts with this MD5, as an array
-    of (start, end) in order, without those inside others. Texts without any are left out. The result is a written
-    table, so its size is known where it is joined."""
+    of (start, end) in order, without those inside others.
+
+    Texts without any are left out, so also null and empty ones; equal texts are one; an
+    empty table gives no row; texts may have any length; other columns are ignored. The
+    result is a written table, so its size is known where it is joined.
+    """
     seen = settled(occurrences(df, text_col).distinct())
     patterns = scored_patterns(seen.select("pattern", "instance", "known"))
     sure = patterns.where((F.col("support") >= LEAST_KNOWN) & (F.col("share") >= SURE)).select("pattern")
     spans = seen.where(~F.col("known")).join(sure, "pattern").select("key", "start", "end").distinct()
     found = spans.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("extra"))
     inside = lambda s, t: (t["start"] <= s["start"]) & (s["end"] <= t["end"]) & (s != t)
-    return settled(found.select("key", F.filter("extra", lambda s: ~F.exists("extra", lambda t: inside(s, t))).alias("extra")))
+    found = settled(found.select("key", F.filter("extra", lambda s: ~F.exists("extra", lambda t: inside(s, t))).alias("extra")))
+    forget(seen)
+    return found
 
 
 @shipped
 def spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: id, base and extra as arrays of (start, kind, end), in code points.
+    """Per row: id, base and extra as arrays of (start, kind, end), in code points. extra
+    has the secrets by form (kind `secret`) and what contexts find (kind `id`).
 
-    A null text counts as empty; a null id is kept; equal texts give equal spans; an
-    empty table gives no row; other columns are ignored.
+    A null text counts as empty; a null id is kept; equal texts give equal spans; texts
+    are searched whole; an empty table gives no row; other columns are ignored.
     """
+    shape = "array<struct<start:long,kind:string,end:long>>"
+    arrow = pa.list_(pa.struct([("start", pa.int64()), ("kind", pa.string()), ("end", pa.int64())]))
+    given = lambda found: [{"start": a, "kind": k, "end": b} for a, k, b in found]
 
     def run(batches):
         for batch in batches:
-            keys, base = [], []
+            keys, base, more = [], [], []
             for text in batch.column(1).to_pylist():
-                keys.append(_key(text or ""))
-                base.append([{"start": a, "kind": KINDS[k], "end": b} for a, k, b in base_spans(text or "")])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array(base, kind)], names=["id", "key", "base"])
+                text = text or ""
+                found = base_spans(text)
+                keys.append(_key(text))
+                base.append(given((a, KINDS[k], b) for a, k, b in found))
+                more.append(given((a, SECRET, b) for a, b in secret_spans(text, found)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array(base, arrow), pa.array(more, arrow)], names=["id", "key", "base", "secrets"])
 
-    kind = pa.list_(pa.struct([("start", pa.int64()), ("kind", pa.string()), ("end", pa.int64())]))
     source = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    id_kind = source.schema["id"].dataType.simpleString()
-    docs = source.mapInArrow(run, f"id {id_kind}, key binary, base array<struct<start:long,kind:string,end:long>>")
+    docs = source.mapInArrow(run, typed(source, "id", f"key binary, base {shape}, secrets {shape}"))
     docs = docs.join(discovered(df, text_col), "key", "left")
     extra = F.transform(F.coalesce("extra", F.array().cast("array<struct<start:long,end:long>>")), lambda s: F.struct(s["start"].alias("start"), F.lit(FOUND).alias("kind"), s["end"].alias("end")))
-    return docs.select(F.col("id").alias(id_col), "base", extra.alias("extra"))
+    return docs.select(F.col("id").alias(id_col), "base", F.concat("secrets", extra).alias("extra"))
 
 
 def listed(spans_: "F.Column") -> "F.Column":
     """kind:start:end of each span by start, then kind as listed, joined by commas."""
-    order = F.create_map(*[F.lit(x) for i, k in enumerate((*KINDS, FOUND)) for x in (k, i)])
+    order = F.create_map(*[F.lit(x) for i, k in enumerate(ALL_KINDS) for x in (k, i)])
     keyed = F.array_sort(F.transform(spans_, lambda s: F.struct(s["start"].alias("start"), order[s["kind"]].alias("rank"), s["end"].alias("end"), s["kind"].alias("kind"))))
     return F.array_join(F.transform(keyed, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
@@ -233,11 +277,13 @@ def masked_text(text: str, extra=()) -> str:
     spans the whole stretch is replaced by the name of the first."""
     out, at, name = [], 0, None
     runs: list[list] = []
-    for a, k, b in sorted([*base_spans(text), *[(a, len(KINDS), b) for a, b in extra]]):
+    base = base_spans(text)
+    secrets = [(a, len(KINDS), b) for a, b in secret_spans(text, base)]
+    for a, k, b in sorted([*base, *secrets, *[(a, len(KINDS) + 1, b) for a, b in extra]]):
         if runs and a < runs[-1][1]:
             runs[-1][1] = max(runs[-1][1], b)
         else:
-            runs.append([a, b, (*KINDS, FOUND)[k].upper()])
+            runs.append([a, b, ALL_KINDS[k].upper()])
     for a, b, name in runs:
         out += [text[at:a], f"<{name}>"]
         at = b
@@ -247,23 +293,31 @@ def masked_text(text: str, extra=()) -> str:
 @shipped
 def masked(df: DataFrame, text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
     """`df` with its personal data masked in `text_col`, and `length_col`, if there is
-    one, set to the new number of code points. Null texts stay null (length kept)."""
+    one, set to the new number of code points; other columns, of any name, stay.
+
+    Null texts stay null (length kept) and empty ones empty; texts are masked whole,
+    however long; repeated rows are masked alike; an empty table gives no row. Only rows
+    whose text may have spans found by context are shuffled to them.
+    """
     columns = df.columns
-    key, more = fresh(df, "key"), fresh(df, "extra")
-    found = discovered(df, text_col).select(F.col("key").alias(key), F.col("extra").alias(more))
-    wide = df.withColumn(key, F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit(""))))).join(found, key, "left")
     t, has = columns.index(text_col), length_col in columns
 
     def run(batches):
         for batch in batches:
             texts = batch.column(t).to_pylist()
-            extra = batch.column(len(columns)).to_pylist()
+            extra = batch.column(len(columns)).to_pylist() if batch.num_columns > len(columns) else [None] * len(texts)
             new = [None if x is None else masked_text(x, [(s["start"], s["end"]) for s in e or ()]) for x, e in zip(texts, extra)]
             cols = [batch.column(i) for i in range(len(columns))]
             cols[t] = pa.array(new, cols[t].type)
             if has:
                 n = columns.index(length_col)
                 cols[n] = pa.array([old if x is None else len(x) for x, old in zip(new, cols[n].to_pylist())], cols[n].type)
-            yield pa.RecordBatch.from_arrays(cols, names=columns)
+            yield pa.RecordBatch.from_arrays(cols, names=[f"c{i}" for i in range(len(columns))])
 
-    return wide.select(*[F.col(f"`{c}`") for c in columns], more).mapInArrow(run, df.schema)
+    key, more = fresh(df, "key"), fresh(df, "extra")
+    found = discovered(df, text_col).toDF(key, more)
+    digest = F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit(""))))
+    maybe, rest = parted(df, digest, found.select(key))
+    maybe = maybe.withColumn(key, digest).join(found.hint("shuffle_hash"), key, "left")
+    maybe = maybe.select(*[F.col(f"`{c}`") for c in columns], more)
+    return mapped(rest, run, df.schema).union(mapped(maybe, run, df.schema))
