@@ -83,8 +83,8 @@ ORACLES["op9_preferences"] = chat.ORACLE
 
 @query
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = mixing.copies(common.table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
-    return out.select("row.doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+    out = mixing.taken(common.table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
 ORACLES["op10_mixing"] = mixing.ORACLE
