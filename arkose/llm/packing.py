@@ -1,22 +1,23 @@
 """Packing token sequences, balanced by attention cost, without a shuffle.
 
-Each task packs its own documents in blocks of about `block_tokens` tokens: whole
-sequences are cut off long documents, then the rest, longest first, go each to the
-sequence of the lowest cost (linear plus quadratic in the piece) that has room. A
-document that fits nowhere is cut. The capacities of a block sum to its tokens: full
-sequences, then the remainder as powers of two, so nothing is padded.
+Each task packs its own documents in blocks of about `block_tokens` tokens or of
+`block_docs` documents, whichever is full first: whole sequences are cut off long
+documents, then the rest, longest first, go each to the sequence of the lowest cost
+(linear plus quadratic in the piece) that has room. A document that fits nowhere is cut.
+The capacities of a block sum to its tokens: full sequences, then the remainder as powers
+of two, so nothing is padded.
 """
 
 from __future__ import annotations
 
+import heapq
 import zlib
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arkose.llm.common import WordLevel, packed
+from arkose.llm.common import WordLevel, packed, typed
 from arkose.shipping import shipped
 
 LINEAR, QUADRATIC = 1.0, 1.0 / 2048
@@ -29,7 +30,12 @@ def cost(n):
 
 def plan_block(lengths, seq_len: int) -> tuple[list[tuple[int, int, int, int, int]], int]:
     """Pieces (document, start, length, sequence, offset) of documents of these
-    lengths, and the number of sequences. Ties keep the documents' order."""
+    lengths, and the number of sequences. Ties keep the documents' order.
+
+    Open sequences wait in a heap by cost, those without room for the present length in
+    one by their room; lengths fall, so a sequence seldom changes over, and a block takes
+    time by the logarithm of its sequences for each piece.
+    """
     pieces: list[tuple[int, int, int, int, int]] = []
     n_seq, pool = 0, []
     for doc, n in enumerate(lengths):
@@ -41,39 +47,46 @@ def plan_block(lengths, seq_len: int) -> tuple[list[tuple[int, int, int, int, in
             pool.append((n % seq_len, doc, whole * seq_len))
     pool.sort(key=lambda x: (-x[0], x[1]))
     total = sum(x[0] for x in pool)
-    caps = [seq_len] * (total // seq_len) + [1 << b for b in range(seq_len.bit_length(), -1, -1) if (total % seq_len) >> b & 1]
-    left, costs, used = np.array(caps, np.int64), np.zeros(len(caps)), np.zeros(len(caps), np.int64)
+    left = [seq_len] * (total // seq_len) + [1 << b for b in range(seq_len.bit_length(), -1, -1) if (total % seq_len) >> b & 1]
+    caps, costs = list(left), [0.0] * len(left)
+    waiting = [(-room, s) for s, room in enumerate(left)]  # the roomiest first
+    heapq.heapify(waiting)
+    open_: list[tuple[float, int]] = []
 
     def place(s: int, doc: int, start: int, n: int) -> None:
-        pieces.append((doc, start, n, n_seq + s, int(used[s])))
-        used[s] += n
+        pieces.append((doc, start, n, n_seq + s, caps[s] - left[s]))
         left[s] -= n
         costs[s] += cost(n)
+        if left[s]:
+            heapq.heappush(waiting, (-left[s], s))
 
     for n, doc, start in pool:
-        open_costs = np.where(left >= n, costs, np.inf)
-        s = int(open_costs.argmin())
-        while n and open_costs[s] == np.inf:  # fits nowhere whole: fill the roomiest
-            s = int(left.argmax())
-            part = min(n, int(left[s]))
+        while n:
+            while waiting and -waiting[0][0] >= n:
+                s = heapq.heappop(waiting)[1]
+                heapq.heappush(open_, (costs[s], s))
+            while open_ and left[open_[0][1]] < n:
+                s = heapq.heappop(open_)[1]
+                heapq.heappush(waiting, (-left[s], s))
+            if open_:
+                place(heapq.heappop(open_)[1], doc, start, n)
+                break
+            s = heapq.heappop(waiting)[1]  # fits nowhere whole: fill the roomiest
+            part = left[s]
             place(s, doc, start, part)
             start, n = start + part, n - part
-            if n:
-                open_costs = np.where(left >= n, costs, np.inf)
-                s = int(open_costs.argmin())
-        if n:
-            place(s, doc, start, n)
     return pieces, n_seq + len(caps)
 
 
 @shipped
-def pack(df: DataFrame, path: str, end_id: int = 2, seq_len: int = 4096, id_col: str = "doc_id", text_col: str = "text", block_tokens: int = 4_000_000, with_ids: bool = False) -> DataFrame:
+def pack(df: DataFrame, path: str, end_id: int = 2, seq_len: int = 4096, id_col: str = "doc_id", text_col: str = "text", block_tokens: int = 4_000_000, block_docs: int = 262_144, with_ids: bool = False) -> DataFrame:
     """Per piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and
     with `with_ids` the piece's ids (little-endian unsigned 32-bit).
 
     Each document is its ids and then `end_id`; a null text counts as empty (one id).
-    `seq_len` is a power of two. A null id is kept; repeated rows are packed each. An
-    empty table gives no piece. Other columns are ignored. A sequence is known by its
+    `seq_len` is a power of two. Texts are packed whole, however long. A null id is kept;
+    repeated rows are packed each. An empty table gives no piece. Other columns are
+    ignored. A sequence is known by its
     task and number, so a task that runs again gives the same result.
     """
 
@@ -106,12 +119,12 @@ def pack(df: DataFrame, path: str, end_id: int = 2, seq_len: int = 4096, id_col:
                 keys.append(key)
                 docs.append(b"".join(values(text or "")) + end)
                 pending += len(docs[-1]) // 4
-                if pending >= block_tokens:
+                if pending >= block_tokens or len(docs) >= block_docs:
                     yield flush()
         if docs:
             yield flush()
 
     source = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    schema = f"id {source.schema['id'].dataType.simpleString()}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids binary" * with_ids
-    names = [c.split()[0] for c in schema.split(", ")]
+    schema = typed(source, "id", "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids binary" * with_ids)
+    names = schema.names
     return source.mapInArrow(run, schema).withColumnRenamed("id", id_col)

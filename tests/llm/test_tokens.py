@@ -71,6 +71,44 @@ def test_plan_covers_each_token_once_without_padding(lengths):
     assert {p[3] for p in pieces} == set(range(n))
 
 
+def plain_plan(lengths, seq_len):
+    """The same rule with a look at all sequences for each document."""
+    pool, n_seq, out = [], 0, []
+    for doc, n in enumerate(lengths):
+        for i in range(n // seq_len):
+            out.append((doc, i * seq_len, seq_len, n_seq, 0))
+            n_seq += 1
+        if n % seq_len:
+            pool.append((n % seq_len, doc, n // seq_len * seq_len))
+    pool.sort(key=lambda x: (-x[0], x[1]))
+    total = sum(x[0] for x in pool)
+    left = [seq_len] * (total // seq_len) + [1 << b for b in range(20, -1, -1) if (total % seq_len) >> b & 1]
+    used, costs = [0] * len(left), [0.0] * len(left)
+    for n, doc, start in pool:
+        while n:
+            room = [s for s in range(len(left)) if left[s] >= n]
+            s = min(room, key=lambda s: (costs[s], s)) if room else max(range(len(left)), key=lambda s: (left[s], -s))
+            k = min(n, left[s])
+            out.append((doc, start, k, n_seq + s, used[s]))
+            left[s], used[s], costs[s] = left[s] - k, used[s] + k, costs[s] + packing.cost(k)
+            start, n = start + k, n - k
+    return out, n_seq + len(left)
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.integers(1, 70), max_size=40))
+def test_plan_equals_the_plain_one(lengths):
+    assert packing.plan_block(lengths, 16) == plain_plan(lengths, 16)
+
+
+def test_many_short_documents_take_little_time():
+    import time
+
+    began = time.perf_counter()
+    pieces, n = packing.plan_block([1] * 262_144, 4096)
+    assert n == 64 and len(pieces) == 262_144 and time.perf_counter() - began < 20
+
+
 def check_pieces(pieces, lengths, seq_len):
     by_doc, by_seq = defaultdict(list), defaultdict(list)
     for doc, start, n, seq, offset in pieces:
@@ -85,9 +123,9 @@ def check_pieces(pieces, lengths, seq_len):
         assert at == want if want is not None else at == seq_len or at & (at - 1) == 0 and at < seq_len
 
 
-@pytest.mark.parametrize("block_tokens", [1000, 4_000_000])
-def test_packing(spark, block_tokens):
-    rows = packing.pack(frame(spark).coalesce(1), WORD, block_tokens=block_tokens, with_ids=True).collect()
+@pytest.mark.parametrize("block", [{"block_tokens": 1000}, {"block_docs": 2}, {}])
+def test_packing(spark, block):
+    rows = packing.pack(frame(spark).coalesce(1), WORD, with_ids=True, **block).collect()
     for key in {d for d, _ in DOCS}:
         want = [ids(WORD, t or "", [2]) for d, t in DOCS if d == key]
         mine = [r for r in rows if r.doc_id == key]
