@@ -23,7 +23,10 @@ from arkose.shipping import shipped
 #: Bounds of what is collected and broadcast: rows sampled for pivots and first bounds,
 #: pivots, and query groups with a bound for each pivot.
 SAMPLE, PIVOTS, GROUPS = 2048, 32, 4096
-QUERY_BLOCK, DATA_BLOCK = 512, 4096
+#: Queries and rows that meet in a task; so many of the queries are scored at once.
+QUERY_BLOCK, DATA_BLOCK, AT_ONCE = 32768, 8192, 512
+#: Cells of fewer queries share a group with the next ones.
+LEAST_QUERIES = 512
 _LONG = (1 << 63) - 1
 
 
@@ -42,13 +45,21 @@ def scaled(vectors: pa.Array, scale: float) -> list:
     return [y[a:b] if k else None for a, b, k in zip(ends[:-1].tolist(), ends[1:].tolist(), ok.tolist())]
 
 
-def _matrix(raw: list[bytes], dim: int) -> np.ndarray:
-    """Vectors as rows, shorter ones filled with zeros."""
-    if all(len(r) == 8 * dim for r in raw):
-        return np.frombuffer(b"".join(raw), "<i8").reshape(len(raw), dim)
+def narrow(v: np.ndarray, most: int) -> bytes:
+    """The numbers in the fewest of 2, 4 or 8 bytes that hold -most to most."""
+    return v.astype("<i2" if most < 1 << 15 else "<i4" if most < 1 << 31 else "<i8").tobytes()
+
+
+def _matrix(raw: list[bytes], dims, dim: int) -> np.ndarray:
+    """Vectors of `dims` numbers each (of 2, 4 or 8 bytes) as rows of int64, shorter ones
+    filled with zeros."""
     out = np.zeros((len(raw), dim), np.int64)
-    for i, r in enumerate(raw):
-        out[i, : len(r) // 8] = np.frombuffer(r, "<i8")
+    shapes: dict[tuple[int, int], list[int]] = {}
+    for i, (r, d) in enumerate(zip(raw, dims)):
+        if d:
+            shapes.setdefault((len(r) // d, d), []).append(i)
+    for (w, d), at in shapes.items():
+        out[at, :d] = np.frombuffer(b"".join([raw[i] for i in at]), f"<i{w}").reshape(len(at), d)
     return out
 
 
@@ -94,7 +105,9 @@ def top_k(df: DataFrame, is_query: Column, k: int = 5, scale: float = 256.0, id_
     query's own id. A row whose id or vector is null, or whose vector holds a null or
     non-finite number (or one beyond the range of long, scaled), takes no part. Rows of
     one id count once, with their best score. A shorter vector is as if filled with
-    zeros. Ties go to the smaller id. No queries or no candidates give no row.
+    zeros. Ties go to the smaller id. No queries or no candidates give no row. Other
+    columns are ignored. A row is sent once to each block of queries it can matter to,
+    with its numbers in the fewest bytes that hold all of the table.
     """
     spark = df.sparkSession
 
@@ -102,16 +115,20 @@ def top_k(df: DataFrame, is_query: Column, k: int = 5, scale: float = 256.0, id_
         for batch in batches:
             vectors = scaled(batch.column(1), scale)
             keep = [i for i, v in enumerate(vectors) if v is not None]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int64())), pa.array([vectors[i].astype("<i8").tobytes() for i in keep], pa.binary()), batch.column(2).take(pa.array(keep, pa.int64()))], names=["id", "vec", "query"])
+            to = pa.array(keep, pa.int64())
+            most = [max(int(v.max()), -int(v.min())) if len(v) else 0 for v in map(vectors.__getitem__, keep)]
+            raw = [narrow(vectors[i], m) for i, m in zip(keep, most)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(to), pa.array(raw, pa.binary()), pa.array([len(vectors[i]) for i in keep], pa.int32()), pa.array([min(m, _LONG) for m in most], pa.int64()), batch.column(2).take(to)], names=["id", "vec", "dim", "most", "query"])
 
     source = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"), F.coalesce(is_query, F.lit(False)).alias("query")).where("id is not null")
-    rows = settled(source.mapInArrow(prepare, "id long, vec binary, query boolean"))
+    rows = settled(source.mapInArrow(prepare, "id long, vec binary, dim int, most long, query boolean"))
     out = "query_id long, vec_id long, score long"
-    dim = (rows.agg(F.max(F.octet_length("vec"))).first()[0] or 0) // 8
-    sample = rows.orderBy(F.xxhash64("id"), "id", "vec").limit(SAMPLE).select("id", "vec").collect()
+    dim, most = rows.agg(F.max("dim"), F.max("most")).first()
+    dim, most = dim or 0, most or 0
+    sample = rows.orderBy(F.xxhash64("id"), "id", "vec").limit(SAMPLE).select("id", "vec", "dim").collect()
     if not sample:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    known, known_ids = _matrix([bytes(r.vec) for r in sample], dim), np.array([r.id for r in sample])
+    known, known_ids = _matrix([bytes(r.vec) for r in sample], [r.dim for r in sample], dim), np.array([r.id for r in sample])
     pivots = _pivots(known, PIVOTS)
     shared = spark.sparkContext.broadcast((known, known_ids, pivots))
 
@@ -120,20 +137,21 @@ def top_k(df: DataFrame, is_query: Column, k: int = 5, scale: float = 256.0, id_
         pivot a row must be to get among its best k."""
         known, known_ids, pivots = shared.value
         for batch in batches:
-            x = _matrix([bytes(v) for v in batch.column(1).to_pylist()], dim)
+            x = _matrix(batch.column(1).to_pylist(), batch.column(2).to_pylist(), dim)
             y = x.astype(np.float64)
             d = np.sqrt(np.maximum(0, (y**2).sum(1)[:, None] - 2 * y @ pivots.T + (pivots**2).sum(1)))
             cell = d.argmin(1)
             far = np.sqrt(((y - pivots[cell]) ** 2).sum(1))
-            ids, asks = batch.column(0).to_numpy(), np.flatnonzero(np.asarray(batch.column(2)))
+            ids, asks = batch.column(0).to_numpy(), np.flatnonzero(np.asarray(batch.column(3)))
             need: list = [None] * len(ids)
             for i in asks.tolist():
                 least = _kth(scores(x[i : i + 1], known)[0], known_ids, ids[i], k)
                 size = np.sqrt((y[i] ** 2).sum())
                 need[i] = [-1.0] * len(pivots) if least is None or not size else ((least - pivots @ y[i]) / size * (1 - 1e-9) - 1e-6 * (1 + size)).tolist()
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(cell, pa.int32()), pa.array(far, pa.float64()), pa.array(need, pa.list_(pa.float64()))], names=["id", "vec", "query", "cell", "far", "need"])
+            even = pa.array([narrow(v, most) for v in x], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), even, batch.column(3), pa.array(cell, pa.int32()), pa.array(far, pa.float64()), pa.array(need, pa.list_(pa.float64()))], names=["id", "vec", "query", "cell", "far", "need"])
 
-    placed = settled(rows.mapInArrow(assign, "id long, vec binary, query boolean, cell int, far double, need array<double>"))
+    placed = settled(rows.select("id", "vec", "dim", "query").mapInArrow(assign, "id long, vec binary, query boolean, cell int, far double, need array<double>"))
     cells = {r.cell: r for r in placed.groupBy("cell").agg(F.count("*").alias("n"), F.count_if("query").alias("asks"), F.max("far").alias("far")).collect()}
     first, parts, sizes = _groups({c: r.asks for c, r in cells.items()})
     table = lambda d: F.element_at(F.array(*[F.lit(int(d.get(c, 0))) for c in range(len(pivots))]), F.col("cell") + 1)
@@ -175,18 +193,19 @@ def top_k(df: DataFrame, is_query: Column, k: int = 5, scale: float = 256.0, id_
         if left.num_rows and right.num_rows:
             right = right.sort_by("id")
             ids, q_ids = right.column("id").to_numpy(), left.column("id").to_numpy()
-            all_scores = scores(_matrix([bytes(v) for v in left.column("vec").to_pylist()], dim), _matrix([bytes(v) for v in right.column("vec").to_pylist()], dim))
+            queries, x = (_matrix(t.column("vec").to_pylist(), [dim] * t.num_rows, dim) for t in (left, right))
             heads = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
-            if len(heads) < len(ids):
-                all_scores, ids = np.maximum.reduceat(all_scores, heads, axis=1), ids[heads]
-            for q, s in zip(q_ids, all_scores):
-                own = np.searchsorted(ids, q)
-                if own < len(ids) and ids[own] == q:
-                    s, those = np.delete(s, own), np.delete(ids, own)
-                else:
-                    those = ids
-                at = best(s, those, k)
-                q_out.append(np.full(len(at), q)), v_out.append(those[at]), s_out.append(s[at])
+            each = ids[heads]
+            for a in range(0, len(q_ids), AT_ONCE):
+                some = scores(queries[a : a + AT_ONCE], x)
+                if len(heads) < len(ids):
+                    some = np.maximum.reduceat(some, heads, axis=1)
+                for q, s in zip(q_ids[a : a + AT_ONCE], some):
+                    own, those = np.searchsorted(each, q), each
+                    if own < len(each) and each[own] == q:
+                        s, those = np.delete(s, own), np.delete(each, own)
+                    at = best(s, those, k)
+                    q_out.append(np.full(len(at), q)), v_out.append(those[at]), s_out.append(s[at])
         cat = lambda x: pa.array(np.concatenate(x) if x else np.empty(0, np.int64), pa.int64())
         return pa.table({"query_id": cat(q_out), "vec_id": cat(v_out), "score": cat(s_out)})
 
@@ -209,16 +228,18 @@ def _kth(s: np.ndarray, ids: np.ndarray, own: int, k: int):
 
 def _groups(asks: dict[int, int]) -> tuple[dict, dict, list[int]]:
     """Cells to query groups: (first group, number of groups) of each cell and a list
-    with a 0 for each group. Small cells next to each other share one; a large cell is
-    split by a hash. At most GROUPS + PIVOTS groups, whatever the number of queries."""
+    with a 0 for each group. Cells of few queries next to each other share one; a large
+    cell is split by a hash. At most GROUPS + PIVOTS groups, whatever the number of
+    queries."""
     want = max(QUERY_BLOCK, -(-sum(asks.values()) // GROUPS))
+    least = min(LEAST_QUERIES, want)
     first, parts, n, filled = {}, {}, 0, None
     for c in sorted(asks):
-        if asks[c] > want:
+        if asks[c] > least:
             first[c], parts[c] = n, -(-asks[c] // want)
             n, filled = n + parts[c], None
         else:
-            if filled is None or filled + asks[c] > want:
+            if filled is None or filled + asks[c] > least:
                 n, filled = n + 1, 0
             first[c], parts[c], filled = n - 1, 1, filled + asks[c]
     return first, parts, [0] * max(1, n)

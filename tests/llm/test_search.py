@@ -34,10 +34,11 @@ def search(spark, rows):
     return set(got)
 
 
-@pytest.mark.parametrize("blocks", [(512, 4096), (3, 40)])
+@pytest.mark.parametrize("blocks", [(32768, 8192, 512), (3, 40, 2)])
 def test_equals_brute_force(spark, monkeypatch, blocks):
     monkeypatch.setattr(vector_search, "QUERY_BLOCK", blocks[0])
     monkeypatch.setattr(vector_search, "DATA_BLOCK", blocks[1])
+    monkeypatch.setattr(vector_search, "LEAST_QUERIES", blocks[2])
     rng = random.Random(2)
     centers = [[rng.gauss(0, 1) for _ in range(6)] for _ in range(5)]
     rows = [(i, [c + rng.gauss(0, 0.2) for c in rng.choice(centers)]) for i in range(400)]
