@@ -21,9 +21,9 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from arkose.llm.common import ByteLevel, packed, settled
+from arkose.llm.common import ByteLevel, packed
+from arkose.operators.ordered import before
 from arkose.shipping import shipped
 
 MAGIC = b"ARKBPLN1"
@@ -103,9 +103,10 @@ def write_tokens(df: DataFrame, path: str, out: str, end_id: int = 2, id_col: st
     """Encodes every text, appends `end_id`, and writes shards in ascending id order
     to `out`: rows (part, seq, n_ids, payload), whose order is the ids' order.
 
-    Null ids come first; equal ids are ordered by their text. A null text counts as
-    empty. Spark's committer makes the write safe against lost executors; a shard is
-    at most `shard_ids` ids and one document more.
+    Null ids come first; equal ids are ordered by their text and each written. A null
+    text counts as empty (its end id only); texts are encoded whole; an empty table gives
+    files without rows; other columns are ignored. Spark's committer makes the write safe
+    against lost executors; a shard is at most `shard_ids` ids and one document more.
     """
 
     def run(batches):
@@ -133,13 +134,18 @@ def write_tokens(df: DataFrame, path: str, out: str, end_id: int = 2, id_col: st
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     tie = F.xxhash64("text")
     rows = rows.repartitionByRange("id", tie).sortWithinPartitions("id", tie, "text")
-    rows.mapInArrow(run, "part int, seq int, n_ids long, payload binary").write.parquet(out)
+    rows.mapInArrow(run, "part int, seq int, n_ids long, payload binary").write.option("compression", "none").parquet(out)  # planes are compressed
 
 
 @shipped
 def read_tokens(spark, out: str, with_ids: bool = False) -> DataFrame:
     """Per document, from the files: doc_id, start (ids of all documents before it),
-    n_tokens, ids_crc32, and with `with_ids` its ids."""
+    n_tokens, ids_crc32, and with `with_ids` its ids.
+
+    Files of an empty table give no row; repeated documents, null ids and documents of
+    any length come back as they were written. Starts are summed up over ranges of
+    shards, so no task has all of them.
+    """
 
     def decode(batches):
         for batch in batches:
@@ -156,8 +162,6 @@ def read_tokens(spark, out: str, with_ids: bool = False) -> DataFrame:
     schema = "part int, seq int, doc_id long, at long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids
     names = [c.split()[0] for c in schema.split(", ")]
     shards = spark.read.schema("part int, seq int, n_ids long, payload binary").parquet(out)
-    # One row a shard of a million ids, not one a document: small enough for one sort.
-    before = Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)
-    starts = settled(shards.select("part", "seq", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("base")))
+    starts = before(shards.select("part", "seq", "n_ids"), [F.col("part"), F.col("seq")], {"base": F.col("n_ids")}).drop("n_ids")
     docs = shards.select("part", "seq", "payload").mapInArrow(decode, schema).join(starts, ["part", "seq"])
     return docs.select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32", *["ids"] * with_ids)
