@@ -15,7 +15,7 @@ R = Registry()
 
 @R.query("SELECT c_custkey, length(c_name) * 2 AS n FROM customer")
 def j1_python_udf(t):
-    return t.customer.select("c_custkey", F.udf(lambda s: len(s) * 2, "bigint")("c_name").alias("n"))
+    return t.customer.select("c_custkey", F.udf(lambda s: None if s is None else len(s) * 2, "bigint")("c_name").alias("n"))
 
 
 @R.query("SELECT event_id, value * 2 + 1 AS v FROM events")
@@ -54,7 +54,7 @@ def j4_udtf(t):
     @F.udtf(returnType="word string")
     class Words:
         def eval(self, s: str):
-            for w in s.split(" "):
+            for w in () if s is None else s.split(" "):
                 yield (w,)
 
     t.spark.udtf.register("arkose_words", Words)

@@ -9,22 +9,45 @@ from pyspark.sql.window import Window
 from arkose.registry import Registry, as_sum, money
 
 R = Registry()
+#: More keys than this cannot be hot; the bound keeps what is broadcast small.
+MOST_HOT = 4096
 
 
-def asof_join(left: DataFrame, right: DataFrame, by: list[str], left_time: str, right_time: str, values: list[str]) -> DataFrame:
+def asof_join(left: DataFrame, right: DataFrame, by: list[str], left_time: str, right_time: str, values: list[str], ranges: str | None = None) -> DataFrame:
     """For each left row the `values` of the latest right row of the same key that is not
     later (null if there is none).
 
     One shuffle by key: both sides are laid in one order and the last right row is
     carried on, so neither side is paired with the other. Among right rows of one time
-    the greatest by `values` counts. `by`, times and values must not clash.
+    the greatest by `values` counts. A left row whose key or time is null has no match; a
+    right row of such a key or time is none. `by`, times and values must not clash.
+
+    With `ranges` (a unit of date_trunc, as "day") a key's history is cut into ranges of
+    time: each is ordered in a task of its own, and what a range ends with is carried over
+    to the later ranges of the key, of which there is one row each. So a hot key, with
+    its rows over many ranges, is not gathered.
     """
     carried = F.struct(*values)
-    a = left.withColumns({"__t": F.col(left_time), "__side": F.lit(1), "__v": F.lit(None).cast(right.select(carried.alias("x")).schema["x"].dataType)})
-    b = right.select(*[F.col(c) for c in by], F.col(right_time).alias("__t"), F.lit(0).alias("__side"), carried.alias("__v"))
-    order = Window.partitionBy(*by).orderBy("__t", "__side", "__v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    both = a.unionByName(b, allowMissingColumns=True).withColumn("__last", F.last("__v", ignorenulls=True).over(order))
-    return both.where("__side = 1").select(*left.columns, *[F.col(f"__last.{v}").alias(v) for v in values])
+    keyed = lambda time: " AND ".join(f"`{c}` IS NOT NULL" for c in [*by, time])
+    kind = right.select(carried.alias("x")).schema["x"].dataType
+    a = left.withColumns({"__t": F.col(left_time), "__side": F.lit(1), "__v": F.lit(None).cast(kind)})
+    none = a.where(f"NOT ({keyed(left_time)})")
+    b = right.where(keyed(right_time)).select(*[F.col(c) for c in by], F.col(right_time).alias("__t"), F.lit(0).alias("__side"), carried.alias("__v"))
+    both = a.where(keyed(left_time)).unionByName(b, allowMissingColumns=True)
+    cut = [] if ranges is None else ["__r"]
+    if cut:
+        both = both.withColumn("__r", F.date_trunc(ranges, "__t"))
+    order = Window.partitionBy(*by, *cut).orderBy("__t", "__side", "__v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    both = both.withColumn("__last", F.last("__v", ignorenulls=True).over(order))
+    if cut:
+        ends = both.where("__side = 0").groupBy(*by, "__r").agg(F.max_by("__v", F.struct("__t", "__v")).alias("__end"))
+        seen = both.select(*by, "__r").distinct().join(ends, [*by, "__r"], "left")
+        earlier = Window.partitionBy(*by).orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)
+        seen = seen.withColumn("__before", F.last("__end", ignorenulls=True).over(earlier)).drop("__end")
+        both = both.where("__side = 1").join(seen, [*by, "__r"]).withColumn("__last", F.coalesce("__last", "__before"))
+    columns = [F.col(f"`{c}`") for c in left.columns]
+    found = both.where("__side = 1").select(*columns, *[F.col(f"__last.{v}").alias(v) for v in values])
+    return found.union(none.select(*columns, *[F.col(f"__v.{v}").alias(v) for v in values]))
 
 
 def interval_join(left: DataFrame, right: DataFrame, left_time: str, right_time: str, seconds: int, extra: Column | None = None) -> DataFrame:
@@ -41,16 +64,26 @@ def interval_join(left: DataFrame, right: DataFrame, left_time: str, right_time:
     return a.join(b, on if extra is None else on & extra).drop("__b", "__c")
 
 
-def salted_join(large: DataFrame, other: DataFrame, key: str, salts: int, spread: Column) -> DataFrame:
-    """An inner join on `key` whose hot keys are spread over `salts` tasks: the other
-    side, which has few rows for a key, is repeated once for each salt."""
-    a = large.withColumn("__salt", F.pmod(F.xxhash64(spread), F.lit(salts)))
-    b = other.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))))
+def salted_join(large: DataFrame, other: DataFrame, key: str, salts: int, spread: Column, hot: DataFrame) -> DataFrame:
+    """An inner join on `key` whose hot keys are spread over `salts` tasks: of the other
+    side only the rows of hot keys are repeated, once for each salt. `hot` is a table of
+    one column, the keys to spread."""
+    marked = hot.select(F.col(hot.columns[0]).alias("__hot")).distinct()
+    if marked.count() > MOST_HOT:
+        raise ValueError(f"more than {MOST_HOT} keys cannot all be hot")
+    salt = F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int")
+    a = large.join(F.broadcast(marked), F.col(key) == F.col("__hot"), "left")
+    a = a.withColumn("__salt", F.when(F.col("__hot").isNull(), 0).otherwise(salt)).drop("__hot")
+    b = other.join(F.broadcast(marked), F.col(key) == F.col("__hot"), "left")
+    b = b.withColumn("__salt", F.explode(F.when(F.col("__hot").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.lit(salts - 1))))).drop("__hot")
     return a.join(b, [key, "__salt"]).drop("__salt")
 
 
-def _count(df: DataFrame) -> DataFrame:
-    return df.groupBy("o_orderstatus").agg(F.count("*").alias("n"), F.count("c_custkey").alias("with_customer"))
+def hot_keys(df: DataFrame, key: str, share: int = 1000) -> DataFrame:
+    """The keys of more than one row in `share`, so fewer than `share` of them: counts with
+    a partial step."""
+    counts = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("__n"))
+    return counts.where(F.col("__n") * share > df.count()).select(key)
 
 
 _RICH = "(SELECT * FROM customer WHERE c_acctbal > 5000)"
@@ -78,12 +111,22 @@ def c2_anti_join(t):
     return t.orders.join(t.lineitem, F.col("o_orderkey") == F.col("l_orderkey"), "left_anti").select("o_orderkey", "o_totalprice")
 
 
-_NOT_IN = "SELECT o_orderkey FROM {orders} WHERE o_orderkey NOT IN (SELECT l_orderkey FROM {lineitem} WHERE l_quantity > 25)"
+def not_in(left: DataFrame, column: str, right: DataFrame) -> DataFrame:
+    """Rows of `left` whose column is NOT IN the one column of `right`, as SQL has it: all,
+    if `right` has no row; none, if it has a null; else those whose column is not null
+    and not there. One small aggregate decides, so the rest is a plain anti join."""
+    key = F.col(right.columns[0])
+    rows, nulls = right.agg(F.count("*"), F.count_if(key.isNull())).first()
+    if nulls:
+        return left.limit(0)
+    if not rows:
+        return left
+    return left.where(F.col(column).isNotNull()).join(right, F.col(column) == key, "left_anti")
 
 
-@R.query(_NOT_IN.replace("{", "").replace("}", ""))
+@R.query("SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 25)")
 def c3_not_in(t):
-    return t.sql(_NOT_IN, "orders", "lineitem")
+    return not_in(t.orders.select("o_orderkey"), "o_orderkey", t.lineitem.where("l_quantity > 25").select("l_orderkey"))
 
 
 _HINTED = "SELECT n_name, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name"
@@ -138,10 +181,25 @@ def c10_asof_join(t):
 
 
 @R.query(_ASOF)
-def c11_asof_by_lateral(t):
-    return t.sql("""SELECT p.event_id, x.click_id FROM {events} p LEFT JOIN LATERAL (
-        SELECT max_by(c.event_id, c.ts) AS click_id FROM {events} c WHERE c.event_type = 'click' AND c.user_id = p.user_id AND c.ts <= p.ts) x
-        WHERE p.event_type = 'purchase'""", "events")
+def c11_asof_by_ranges(t):
+    """The same rows with each user's history cut into days."""
+    e = t.events
+    buys = e.where("event_type = 'purchase'").select("event_id", "user_id", "ts")
+    clicks = e.where("event_type = 'click'").select(F.col("event_id").alias("click_id"), "user_id", F.col("ts").alias("clicked"))
+    return asof_join(buys, clicks, ["user_id"], "ts", "clicked", ["click_id"], ranges="day").select("event_id", "click_id")
+
+
+_NULL_TIMES = "SELECT event_id, event_type, nullif(user_id % 5, 3) AS u, CASE WHEN event_id % 11 > 0 THEN ts END AS ts FROM events"
+
+
+@R.query(f"""WITH n AS ({_NULL_TIMES}) SELECT p.event_id, c.event_id AS click_id FROM (SELECT * FROM n WHERE event_type = 'purchase') p
+  ASOF LEFT JOIN (SELECT * FROM n WHERE event_type = 'click' AND ts IS NOT NULL) c ON p.u = c.u AND p.ts >= c.ts""")
+def c10_asof_nulls(t):
+    """Keys and times with nulls, on both sides; null keys and times match nothing."""
+    n = t.sql(_NULL_TIMES.replace("FROM events", "FROM {events}"), "events")
+    buys = n.where("event_type = 'purchase'").select("event_id", "u", "ts")
+    clicks = n.where("event_type = 'click'").select(F.col("event_id").alias("click_id"), "u", F.col("ts").alias("clicked"))
+    return asof_join(buys, clicks, ["u"], "ts", "clicked", ["click_id"], ranges="day").select("event_id", "click_id")
 
 
 @R.query("SELECT r_name, x.n FROM region, LATERAL (SELECT count(*) AS n FROM nation WHERE n_regionkey = r_regionkey) x")
@@ -165,16 +223,19 @@ def c13_star_join(t):
 
 @R.query("SELECT a.c_custkey AS a, count(*) AS n FROM customer a JOIN customer b ON a.c_nationkey = b.c_nationkey AND a.c_mktsegment = b.c_mktsegment AND a.c_acctbal < b.c_acctbal GROUP BY a.c_custkey")
 def c13_self_join(t):
-    a, b = t.customer.alias("a"), t.customer.alias("b")
-    on = (F.col("a.c_nationkey") == F.col("b.c_nationkey")) & (F.col("a.c_mktsegment") == F.col("b.c_mktsegment")) & (F.col("a.c_acctbal") < F.col("b.c_acctbal"))
-    return a.join(b, on).groupBy(F.col("a.c_custkey").alias("a")).agg(F.count("*").alias("n"))
+    """How many customers of a group have more: a count over an order, not all pairs."""
+    above = Window.partitionBy("c_nationkey", "c_mktsegment").orderBy(F.desc("c_acctbal")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    ties = Window.partitionBy("c_nationkey", "c_mktsegment", "c_acctbal")
+    rows = t.customer.where("c_nationkey is not null and c_mktsegment is not null and c_acctbal is not null")
+    rows = rows.select(F.col("c_custkey").alias("a"), (F.count("*").over(above) - F.count("*").over(ties)).alias("n")).where("n > 0")
+    return rows.groupBy("a").agg(F.sum("n").alias("n"))
 
 
 @R.query("SELECT o_orderstatus, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY o_orderstatus")
 def c14_salted_join(t):
     orders = t.orders.select(F.col("o_orderkey").alias("k"), "o_orderstatus")
     lines = t.lineitem.select(F.col("l_orderkey").alias("k"), "l_partkey", "l_linenumber")
-    return salted_join(lines, orders, "k", 8, F.struct("l_partkey", "l_linenumber")).groupBy("o_orderstatus").agg(F.count("*").alias("n"))
+    return salted_join(lines, orders, "k", 8, F.struct("l_partkey", "l_linenumber"), hot_keys(lines, "k")).groupBy("o_orderstatus").agg(F.count("*").alias("n"))
 
 
 @R.query("SELECT o_orderpriority, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY o_orderpriority")

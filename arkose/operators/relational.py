@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from arkose.operators.ordered import before
 from arkose.registry import Registry, as_sum, mean, money
 
 R = Registry()
@@ -37,7 +38,7 @@ def pricing_summary(t):
 
 @R.query("SELECT o_orderkey AS order_key, o_totalprice * 1.1 AS with_fee, upper(o_orderpriority) AS priority, o_orderdate FROM orders")
 def b1_project(t):
-    return t.orders.withColumns({"with_fee": F.col("o_totalprice") * 1.1, "priority": F.upper("o_orderpriority")}).withColumnRenamed("o_orderkey", "order_key").select("order_key", "with_fee", "priority", "o_orderdate").drop("none_such")
+    return t.orders.withColumns({"with_fee": F.col("o_totalprice") * 1.1, "priority": F.upper("o_orderpriority")}).withColumnRenamed("o_orderkey", "order_key").select("order_key", "with_fee", "priority", "o_orderdate", "o_custkey").drop("o_custkey")
 
 
 @R.query("SELECT o_orderkey FROM orders WHERE (o_orderstatus = 'F' OR o_totalprice > 100000) AND NOT o_orderpriority = '5-LOW' AND o_orderdate >= TIMESTAMP '1996-01-01'")
@@ -93,10 +94,11 @@ def b8_sample(t):
 
 @R.query("SELECT *, row_number() OVER (ORDER BY k NULLS LAST, e) AS place FROM (SELECT event_id AS e, nullif(user_id % 7, 3) AS k FROM events)")
 def f1_sort_nulls(t):
-    from pyspark.sql.window import Window
-
+    """Places in a global order, counted over ranges of it rather than in one task."""
     rows = t.events.select(F.col("event_id").alias("e"), F.nullif(F.col("user_id") % 7, F.lit(3)).alias("k"))
-    return rows.withColumn("place", F.row_number().over(Window.orderBy(F.col("k").asc_nulls_last(), "e")).cast("bigint")).orderBy(F.col("k").asc_nulls_last(), "e")
+    order = [F.col("k").asc_nulls_last(), F.col("e").asc()]
+    rows = before(rows, order, {"place": F.lit(1)})
+    return rows.withColumn("place", F.col("place") + 1).orderBy(*order)
 
 
 @R.query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10 OFFSET 5")

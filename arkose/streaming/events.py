@@ -63,11 +63,11 @@ def a5_foreach_batch(t):
     out = scratch(t.spark)
 
     def keep(batch: DataFrame, number: int) -> None:
-        batch.write.mode("append").parquet(out)
+        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")  # a batch that comes again replaces itself
 
     q = stream(t).where("value > 50").select("event_id", "value").writeStream.foreachBatch(keep).option("checkpointLocation", scratch(t.spark)).trigger(availableNow=True).start()
     q.awaitTermination()
-    return t.spark.read.schema("event_id long, value double").parquet(out)
+    return t.spark.read.schema("event_id long, value double, batch int").parquet(out).drop("batch")
 
 
 @R.query("SELECT event_id, user_id FROM events")
@@ -211,8 +211,22 @@ def c15_stream_stream_join(t):
     return used_up(c.join(p, F.expr("u = w AND pt BETWEEN ct AND ct + INTERVAL 1 HOUR")).select("click_id", "purchase_id"))
 
 
-i8_stream_stream_join = c15_stream_stream_join
-R.queries["i8_stream_stream_join"], R.oracles["i8_stream_stream_join"] = R.queries["c15_stream_stream_join"], R.oracles["c15_stream_stream_join"]
+@R.query("SELECT v.event_id AS view_id, e.event_id AS error_id FROM events v LEFT JOIN events e ON v.user_id = e.user_id AND e.event_type = 'error' AND e.ts BETWEEN v.ts AND v.ts + INTERVAL 30 MINUTE WHERE v.event_type = 'view'")
+def i8_stream_stream_join(t):
+    """An outer join: rows without a match come when the watermark has passed their time,
+    so one late event without partners (of user 0, left out again) ends the stream."""
+    s = stream(t)
+    end = t.spark.sql("SELECT TIMESTAMP '2100-01-01' AS ts")
+    batch = t.events.withColumn("ts", F.col("ts").cast("timestamp"))
+    last = end.select(F.lit(-1).cast("long").alias("event_id"), "ts", F.lit(-1).cast("long").alias("user_id"), F.explode(F.array(F.lit("view"), F.lit("error"))).alias("event_type"))
+    out = scratch(t.spark)
+    batch.select(*last.columns).write.parquet(f"{out}/1")
+    last.write.parquet(f"{out}/2")
+    s = t.spark.readStream.schema(last.schema).option("maxFilesPerTrigger", 1).parquet(f"{out}/[12]")
+    v = s.where("event_type = 'view'").select(F.col("event_id").alias("view_id"), F.col("user_id").alias("u"), F.col("ts").alias("vt")).withWatermark("vt", "1 hour")
+    e = s.where("event_type = 'error'").select(F.col("event_id").alias("error_id"), F.col("user_id").alias("w"), F.col("ts").alias("et")).withWatermark("et", "1 hour")
+    joined = v.join(e, F.expr("u = w AND et BETWEEN vt AND vt + INTERVAL 30 MINUTE"), "left_outer")
+    return used_up(joined.select("view_id", "error_id")).where("view_id >= 0")
 
 
 @R.query("SELECT event_id, c_name FROM events JOIN customer ON user_id = c_custkey WHERE event_type = 'purchase'")

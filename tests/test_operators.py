@@ -4,7 +4,8 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from arkose.operators.joins import asof_join, interval_join, salted_join
+from arkose.operators.joins import asof_join, hot_keys, interval_join, not_in, salted_join
+from arkose.operators.ordered import before
 from arkose.operators.text import first_copies, word_grams
 from arkose.operators.windows import top_k_per_group
 from arkose.streaming.events import sessions
@@ -22,6 +23,43 @@ def test_asof_takes_the_latest_not_later(spark):
     assert asof_join(left.limit(0), right, ["k"], "t", "rt", ["v"]).count() == 0
 
 
+def test_asof_with_nulls_and_ranges(spark):
+    left = spark.createDataFrame([(1, None, at(5)), (2, "a", None), (3, "a", at(5)), (4, "a", at(3000))], "id int, k string, t timestamp_ntz")
+    right = spark.createDataFrame([(None, at(1), 10), ("a", None, 11), ("a", at(9), 12), ("a", at(2), None), ("b", at(1), 13)], "k string, rt timestamp_ntz, v int")
+    for ranges in (None, "hour", "day"):
+        got = {r.id: r.v for r in asof_join(left, right, ["k"], "t", "rt", ["v"], ranges).collect()}
+        assert got == {1: None, 2: None, 3: None, 4: 12}
+
+
+def test_not_in_as_sql_has_it(spark):
+    left = spark.createDataFrame([(1,), (2,), (None,)], "x int")
+    of = lambda *v: sorted(str(r.x) for r in not_in(left, "x", spark.createDataFrame([(i,) for i in v], "y int")).collect())
+    assert of(2, 5) == ["1"] and of(2, None) == [] and of() == ["1", "2", "None"]
+
+
+def test_running_sums_over_ranges(spark):
+    import random
+
+    values = [random.Random(i).choice([None, 1, 2, 3]) for i in range(200)]
+    df = spark.createDataFrame(list(enumerate(values)), "i int, v int").repartition(7)
+    got = {r.i: (r.n, r.total) for r in before(df, [F.col("v").asc_nulls_last(), F.col("i").desc()], {"n": F.lit(1), "total": F.col("v")}).collect()}
+    n = total = 0
+    for i, v in sorted(enumerate(values), key=lambda x: (x[1] is None, x[1] or 0, -x[0])):
+        assert got[i] == (n, total)
+        n, total = n + 1, total + (v or 0)
+    assert before(df.limit(0), [F.col("i").asc()], {"n": F.lit(1)}).collect() == []
+
+
+def test_plans_have_no_single_task_or_nested_loop(spark):
+    from arkose.operators import joins, relational
+    from arkose.registry import Tables
+
+    t = Tables(spark, "/root/testdata/sf0.001")
+    for q in (joins.c3_not_in, joins.c11_asof_by_ranges, joins.c13_self_join, relational.f1_sort_nulls):
+        plan = q(t)._jdf.queryExecution().executedPlan().toString()
+        assert not any(x in plan for x in ("SinglePartition", "NestedLoop", "Cartesian")), q.__name__
+
+
 def test_interval_join_includes_both_ends(spark):
     left = spark.createDataFrame([(1, at(0)), (2, at(7)), (3, None)], "a int, lt timestamp_ntz")
     right = spark.createDataFrame([(1, at(0)), (2, at(10)), (3, at(11)), (4, at(17)), (5, None)], "b int, rt timestamp_ntz")
@@ -37,9 +75,11 @@ def test_interval_join_has_no_nested_loop(spark):
 
 
 def test_salted_join_loses_no_row(spark):
-    large = spark.range(1000).select((F.col("id") % 3).alias("k"), "id")
-    small = spark.createDataFrame([(0, "x"), (1, "y"), (5, "z")], "k long, name string")
-    assert salted_join(large, small, "k", 4, F.col("id")).count() == large.join(small, "k").count() == 667
+    large = spark.range(1000).select(F.when(F.col("id") % 3 > 0, F.col("id") % 3).otherwise(F.col("id")).alias("k"), "id")
+    small = spark.createDataFrame([(0, "x"), (1, "y"), (9, "z"), (None, "n")], "k long, name string")
+    hot = hot_keys(large, "k", 10)
+    assert {r.k for r in hot.collect()} == {1, 2}
+    assert salted_join(large, small, "k", 4, F.col("id"), hot).count() == large.join(small, "k").count() == 335
 
 
 def test_top_k_with_ties(spark):
