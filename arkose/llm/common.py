@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import re
 import tempfile
@@ -9,6 +10,9 @@ import uuid
 from array import array
 from functools import lru_cache
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -98,6 +102,30 @@ def parted(df: DataFrame, key, keys: DataFrame, bits: int = 24) -> tuple[DataFra
     return marked.where(hit).select(columns), marked.where(~hit).select(columns)
 
 
+#: Rows, and bytes of their texts, that a worker turns into Python objects at once.
+ROWS, BYTES = 512, 4 << 20
+
+
+def slices(batches, column: int = 1):
+    """The batches cut to at most ROWS rows and about BYTES bytes of a string or binary
+    column (one row at least), which bounds what a worker holds. At the end the worker
+    gives back memory that it no longer uses, for the tasks that run in it later."""
+    try:
+        for batch in batches:
+            size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+            a = 0
+            while a < batch.num_rows:
+                b = int(np.searchsorted(size, (size[a - 1] if a else 0) + BYTES, "right"))
+                b = min(max(b, a + 1), a + ROWS)
+                yield batch.slice(a, b - a)
+                a = b
+    finally:
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:
+            trim(0)
+
+
 @lru_cache(maxsize=4)
 def tokenizer(path: str):
     """The tokenizer of a .json file, loaded once in each worker."""
@@ -119,7 +147,7 @@ class UnitCache(dict):
     survive one: a full generation becomes the old one, from which hits move back.
     """
 
-    def __init__(self, compute, pinned=None, limit=200_000):
+    def __init__(self, compute, pinned=None, limit=100_000):
         super().__init__(pinned or {})
         self._compute, self._pinned, self._limit, self._old = compute, pinned or {}, limit, {}
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arkose.llm.common import settled
+from arkose.llm.common import forget, settled
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -15,19 +15,23 @@ def _mark(edges: DataFrame) -> tuple:
 
 def stars(edges: DataFrame) -> DataFrame:
     """From edges (u, v) of longs: (u, v) for each node u that is not the least of its
-    component, v being that least node. No edges give no rows. Each round is written to
-    the shared folder; a node of any degree is met by a join, which Spark can split, not
-    gathered in one task."""
+    component, v being that least node. No edges give no rows; repeated edges and loops
+    change nothing.
+
+    Each round is written to the shared folder. In its large step a node of any degree is
+    met by a plain join of two tables that were written (nodes' least neighbours are sums
+    with a partial step), so Spark can split a hub's rows over tasks; they are never
+    gathered. In the small step a node has its lesser neighbours only."""
     now = settled(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     mark = _mark(now)
     while mark[0]:
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = settled(large)
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = settled(small.union(least.select("u", F.col("m").alias("v"))).distinct())
+        least = settled(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
+        large = settled(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        lesser = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(lesser, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        before, now = now, settled(small.union(lesser.select("u", F.col("m").alias("v"))).distinct())
+        forget(before, least, large)
         last, mark = mark, _mark(now)
         if mark == last:
             break

@@ -13,18 +13,16 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from arkose.llm.common import slices, typed
 from arkose.shipping import shipped
 
 # WAVE format tags; the IMA ADPCM step sizes follow from the rule below.
 TAGS = {"mulaw": 7, "alaw": 6, "adpcm": 17, "pcm": 1}
 CODECS = ("mulaw", "alaw", "adpcm")
 RATE, OUT_RATE = 8000, 16000
-#: Rows, and bytes of them, that are coded or decoded together.
-ROWS, BYTES = 512, 4 << 20
 #: Bytes of an ADPCM block: a 4-byte head with the first sample, then 2 samples a byte.
 BLOCK = 192
 # The change of the step index for each 3-bit magnitude, the 89 steps.
@@ -171,19 +169,6 @@ def payload_of(text: str | None) -> bytes:
     return data + b" " * (max(1, -(-len(data) // BLOCK)) * BLOCK - len(data))
 
 
-def slices(batches):
-    """The batches cut to at most ROWS rows and about BYTES bytes of their second column
-    (one row at least), which bounds what a worker holds."""
-    for batch in batches:
-        size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
-        a = 0
-        while a < batch.num_rows:
-            b = int(np.searchsorted(size, (size[a - 1] if a else 0) + BYTES, "right"))
-            b = min(max(b, a + 1), a + ROWS)
-            yield batch.slice(a, b - a)
-            a = b
-
-
 @shipped
 def store(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", codec: str | None = None) -> DataFrame:
     """Per row: id, n_bytes, media: the payload, unchanged, as the coded samples of a
@@ -205,7 +190,7 @@ def store(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", codec:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(media, pa.binary())], names=["id", "n_bytes", "media"])
 
     source = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return source.mapInArrow(run, f"id {source.schema['id'].dataType.simpleString()}, n_bytes long, media binary").withColumnRenamed("id", id_col)
+    return source.mapInArrow(run, typed(source, "id", "n_bytes long, media binary")).withColumnRenamed("id", id_col)
 
 
 def features(codec: str, pcm: np.ndarray, out: np.ndarray) -> str:

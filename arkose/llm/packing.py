@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arkose.llm.common import WordLevel, packed, typed
+from arkose.llm.common import WordLevel, packed, slices, typed
 from arkose.shipping import shipped
 
 LINEAR, QUADRATIC = 1.0, 1.0 / 2048
@@ -113,7 +113,7 @@ def pack(df: DataFrame, path: str, end_id: int = 2, seq_len: int = 4096, id_col:
             return pa.RecordBatch.from_arrays(cols, names=names)
 
         key_type = None
-        for batch in batches:
+        for batch in slices(batches):
             key_type = batch.schema.field(0).type
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 keys.append(key)

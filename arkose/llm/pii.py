@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arkose.llm.common import forget, fresh, mapped, parted, settled, typed
+from arkose.llm.common import forget, fresh, mapped, parted, settled, slices, typed
 from arkose.shipping import shipped
 
 KINDS = ("email", "ip", "card", "phone")
@@ -178,7 +178,7 @@ def occurrences(df: DataFrame, text_col: str = "text") -> DataFrame:
     """Rows (key, start, end, known, instance, pattern) of all texts; key is the text's MD5."""
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches, 0):
             rows = []
             for text in batch.column(0).to_pylist():
                 if text:
@@ -248,7 +248,7 @@ def spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
     given = lambda found: [{"start": a, "kind": k, "end": b} for a, k, b in found]
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             keys, base, more = [], [], []
             for text in batch.column(1).to_pylist():
                 text = text or ""
@@ -303,7 +303,7 @@ def masked(df: DataFrame, text_col: str = "text", length_col: str | None = "n_ch
     t, has = columns.index(text_col), length_col in columns
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches, t):
             texts = batch.column(t).to_pylist()
             extra = batch.column(len(columns)).to_pylist() if batch.num_columns > len(columns) else [None] * len(texts)
             new = [None if x is None else masked_text(x, [(s["start"], s["end"]) for s in e or ()]) for x, e in zip(texts, extra)]

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arkose.llm.common import mapped, settled, typed
+from arkose.llm.common import mapped, settled, slices, typed
 from arkose.shipping import shipped
 
 PASSAGE_WORDS = 64
@@ -267,7 +267,7 @@ def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     named = named.orderBy(F.xxhash64("id"), "id").limit(TRAIN_DOCS)  # so small enough to broadcast
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             found = list(bags(batch.column(1).to_pylist()))
             x = [f.astype("<f4").tobytes() for f in found]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(map(len, found), pa.int32()), pa.array(x, pa.binary())], names=["id", "y", "n", "x"])
@@ -305,7 +305,7 @@ def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shared.value.score(x) for x in bags(batch.column(1).to_pylist())], pa.float64())], names=["id", "score"])
 
     source = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
@@ -327,7 +327,7 @@ def accepted(df: DataFrame, model: Model, threshold: float = 0.7, text_col: str
     at = df.columns.index(text_col)
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches, at):
             keep = [shared.value.score(x) >= threshold for x in bags(batch.column(at).to_pylist())]
             yield batch.filter(pa.array(keep, pa.bool_()))
 

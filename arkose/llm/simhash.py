@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from arkose.llm.common import settled
+from arkose.llm.common import parted, settled
 from arkose.llm.graphs import stars
 from arkose.shipping import shipped
 
@@ -235,20 +235,28 @@ def first_of_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """`df`, with all its columns, cut to one row of each group of near-duplicates: a row
     with the group's least id (null only where all are).
 
-    Where several rows have that id, the one that is least as JSON stays. Only rows whose
-    id is null or not unique are compared; the others are kept or not by their id alone.
-    Groups are those of `near_duplicates`, or of another pair of functions like its own.
+    Groups are those of `near_duplicates`, or of another pair of functions like its own:
+    null and empty texts are alike, texts may have any length. A row whose id is unique is
+    kept or not by its id. Rows of an id that is null or not unique are compared: of
+    those of one group, the one that is least as JSON stays. An empty table gives no row.
+
+    Ids that do not decide for themselves to stay (those dropped, null or repeated) go to
+    a filter of bounded size; a row that it does not let through stays where it is. Only
+    the others, with their texts, are shuffled to their ids.
     """
     docs, classes = classes_of(df, id_col, text_col, **options)
-    heads = docs.join(classes, "fp").where("id <=> component_id").groupBy("id").agg(F.count("*").alias("n"))
-    heads = settled(heads.select("id", F.when(F.col("id").isNotNull(), F.col("n")).otherwise(2).alias("n")))
-    one, many = heads.where("n = 1"), heads.where("n > 1")
-    # Ids and texts meet by a shuffle at every size: ids grow with the documents. Next to
-    # its texts a partition's ids are few, so they are hashed and the texts not sorted.
-    kept = df.join(one.hint("shuffle_hash"), df[id_col] == one["id"], "left_semi")
-    if many.isEmpty():
+    heads = docs.join(classes, "fp").select("id", F.expr("id <=> component_id").alias("head"))
+    per_id = heads.groupBy("id").agg(F.count("*").alias("n"), F.max("head").alias("head"))
+    kind = F.when(~F.col("head"), "none").when(F.col("id").isNull() | (F.col("n") > 1), "some").otherwise("all")
+    others = settled(per_id.select("id", kind.alias("kind")).where("kind <> 'all'"))
+    maybe, kept = parted(df, F.col(id_col), others.select("id"))
+    # Next to its texts a partition's ids are few, so they are hashed and the texts not sorted.
+    kept = kept.union(maybe.join(others.hint("shuffle_hash"), F.col(id_col).eqNullSafe(others["id"]), "left_anti"))
+    some = others.where("kind = 'some'")
+    if some.isEmpty():
         return kept
-    rows = df.join(many, df[id_col].eqNullSafe(many["id"]), "left_semi").select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col(text_col).alias("text"))
+    columns = [F.col(f"`{c}`") for c in df.columns]
+    rows = maybe.join(some, F.col(id_col).eqNullSafe(some["id"]), "left_semi").select(F.struct(columns).alias("row"), F.col(text_col).alias("text"))
     rows = marks(rows, "row", "text").join(classes, "fp").where(F.col(f"row.`{id_col}`").eqNullSafe(F.col("component_id")))
     first = rows.groupBy("root").agg(F.min_by("row", F.to_json("row")).alias("row"))
-    return kept.union(first.select(*[F.col(f"row.`{c}`").alias(c) for c in df.columns]))
+    return kept.union(first.select([F.col(f"row.`{c}`").alias(c) for c in df.columns]))

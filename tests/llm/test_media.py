@@ -4,7 +4,7 @@ import zlib
 import numpy as np
 import pytest
 
-from arkose.llm import media
+from arkose.llm import common, media
 
 
 def plain_adpcm(block):
@@ -99,7 +99,7 @@ def plain_samples(codec, data):
 
 
 def test_query_stores_the_media_and_the_resampled_pcm(spark, monkeypatch):
-    from arkose.llm import common, queries
+    from arkose.llm import queries
 
     sf, written, settled = "/root/testdata/sf0.001", [], common.settled
     monkeypatch.setattr(common, "settled", lambda df, *a: written.append(settled(df, *a)) or written[-1])
@@ -126,8 +126,8 @@ def test_query_stores_the_media_and_the_resampled_pcm(spark, monkeypatch):
 def test_slices_bound_rows_and_bytes():
     import pyarrow as pa
 
-    batch = pa.RecordBatch.from_arrays([pa.array(range(5)), pa.array(["x" * media.BYTES, None, "a", "y" * media.BYTES, "b"])], names=["id", "text"])
-    parts = [b.column(0).to_pylist() for b in media.slices([batch])]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(5)), pa.array(["x" * common.BYTES, None, "a", "y" * common.BYTES, "b"])], names=["id", "text"])
+    parts = [b.column(0).to_pylist() for b in common.slices([batch])]
     assert parts == [[0, 1], [2], [3], [4]]
     many = pa.RecordBatch.from_arrays([pa.array(range(1300)), pa.array(["t"] * 1300)], names=["id", "text"])
-    assert [b.num_rows for b in media.slices([many])] == [512, 512, 276]
+    assert [b.num_rows for b in common.slices([many])] == [512, 512, 276]
