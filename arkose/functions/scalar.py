@@ -51,6 +51,15 @@ def h4_datetime(t):
         F.timestamp_diff("SECOND", F.lit("1970-01-01").cast("timestamp_ntz"), ts).alias("ep"))
 
 
+@R.query("SELECT event_id, floor(epoch(ts))::BIGINT AS seconds, strftime(ts, '%Y-%m-%d %H:%M:%S') AS again, datediff('day', DATE '1970-01-01', ts::DATE)::INT AS days FROM events")
+def h4_unix(t):
+    """Seconds of UTC from text with an offset, whatever the session's time zone."""
+    text = F.concat(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.lit("+0000"))
+    seconds = F.unix_timestamp(text, "yyyy-MM-dd HH:mm:ssZ")
+    utc = F.to_utc_timestamp(F.timestamp_seconds(seconds), F.current_timezone())
+    return t.events.select("event_id", seconds.alias("seconds"), F.date_format(utc, "yyyy-MM-dd HH:mm:ss").alias("again"), F.unix_date(F.to_date("ts")).alias("days"))
+
+
 @R.query("SELECT o_orderkey, strptime('1998-03-0' || (o_orderkey % 9 + 1), '%Y-%m-%d') AS parsed, datediff('day', o_orderdate::DATE, DATE '2002-01-01')::INT AS days_left, (year(o_orderdate) - 1990) * 12 + month(o_orderdate) AS months FROM orders")
 def h4_parse(t):
     text = F.concat(F.lit("1998-03-0"), (F.col("o_orderkey") % 9 + 1).cast("string"))
@@ -81,6 +90,14 @@ def h6_array(t):
     return t.part.select("p_partkey", F.size(w).alias("n"), F.element_at(w, 1).alias("head"), F.slice(w, 1, 2).alias("two"), F.array_sort(F.array_distinct(w)).alias("uniq"), F.array_contains(w, "red").alias("has"), F.transform(w, F.upper).alias("up"), F.filter(w, lambda x: F.length(x) > 4).alias("long_"), F.array_position(w, "red").alias("pos"), F.flatten(F.array(w, F.array(F.lit("z")))).alias("flat"), F.aggregate(w, F.lit(0).cast("bigint"), lambda a, x: a + F.length(x)).alias("letters"), F.sequence(F.lit(1).cast("bigint"), F.col("p_size") % 4 + F.lit(1).cast("bigint")).alias("seq"), F.array_sort(F.array_intersect(w, F.array(F.lit("red"), F.lit("blue")))).alias("both_"))
 
 
+@R.query(f"SELECT p_partkey, list_reverse_sort({_W}) AS down, list_transform({_W}, lambda x: x || ':' || length(x)) AS zipped, len({_W})::INT AS n FROM part")
+def h6_sort_zip(t):
+    w = F.split("p_name", " ")
+    pairs = F.arrays_zip(w.alias("word"), F.transform(w, F.length).alias("letters"))
+    zipped = F.transform(pairs, lambda z: F.concat_ws(":", z["word"], z["letters"].cast("string")))
+    return t.part.select("p_partkey", F.sort_array(w, asc=False).alias("down"), zipped.alias("zipped"), F.json_array_length(F.to_json(w)).alias("n"))
+
+
 @R.query("SELECT p_partkey, list_sort(list_distinct([p_size, 3, 5, 3])) AS un, len(list_filter([p_size, 9], lambda x: x <> 9))::INT AS ex, len(list_filter([p_size, 20], lambda x: x > 25)) > 0 AS some_, p_size > 2 AS all_, [p_size + 1, 4] AS zipped FROM part")
 def h6_array_sets(t):
     s, a = F.col("p_size"), F.array
@@ -106,6 +123,14 @@ def h7_map_struct(t):
     return t.part.select("p_partkey", F.element_at(F.create_map(F.lit("s"), "p_size"), "s").alias("got"), F.map_keys(m).alias("keys"), F.map_values(m).alias("vals"), F.map_values(F.transform_values(m, lambda k, v: F.concat(v, F.lit("!")))).alias("bang"), F.map_keys(F.map_filter(m, lambda k, v: k == "type")).alias("kept"), F.element_at(F.map_concat(F.str_to_map(F.lit("x:a,y:b"), F.lit(","), F.lit(":")), F.create_map(F.lit("z"), F.lit("c"))), "y").alias("parsed"), F.named_struct(F.lit("t"), "p_type")["t"].alias("field"))
 
 
+@R.query("SELECT p_partkey, ['brand=' || p_brand, 'type=' || p_type] AS entries, p_type AS back, p_brand AS made FROM part")
+def h7_map_entries(t):
+    m = F.create_map(F.lit("brand"), "p_brand", F.lit("type"), "p_type")
+    entries = F.map_entries(m)
+    made = F.map_from_arrays(F.array(F.lit("a"), F.lit("b")), F.array("p_brand", "p_type"))
+    return t.part.select("p_partkey", F.transform(entries, lambda e: F.concat(e["key"], F.lit("="), e["value"])).alias("entries"), F.element_at(F.map_from_entries(entries), "type").alias("back"), F.element_at(made, "a").alias("made"))
+
+
 @R.query("SELECT event_id, json_extract_string(props, '$.k') AS k, cast(json_extract(props, '$.k') AS BIGINT) AS kk, json_keys(props) AS names, '{\"u\":' || user_id || '}' AS js, 3 AS len FROM events")
 def h8_json(t):
     parsed = F.from_json("props", "k bigint")
@@ -122,3 +147,12 @@ def h9_url_csv_xml(t):
     row = F.from_csv(F.concat(F.col("page_id").cast("string"), F.lit(",q")), "n int, s string")
     xml = F.from_xml(F.lit("<r><x>v</x></r>"), "x string")
     return t.pages.select("page_id", F.parse_url("url", F.lit("HOST")).alias("host"), F.url_decode(F.lit("a%20b")).alias("decoded"), row["n"].alias("n"), xml["x"].alias("x"))
+
+
+@R.query("SELECT p_partkey, p_brand AS brand, p_size::INT AS size, [p_brand, p_type] AS texts, p_name AS decoded, p_partkey::BIGINT AS n, p_type AS x FROM part")
+def h9_columns(t):
+    """xpath, url_decode, from_csv and from_xml on columns of the table."""
+    xml = F.concat(F.lit("<p><b>"), "p_brand", F.lit("</b><b>"), "p_type", F.lit("</b><s>"), F.col("p_size").cast("string"), F.lit("</s></p>"))
+    row = F.from_csv(F.concat_ws(",", F.col("p_partkey").cast("string"), "p_brand"), "n bigint, s string")
+    parsed = F.from_xml(F.concat(F.lit("<r><x>"), "p_type", F.lit("</x></r>")), "x string")
+    return t.part.select("p_partkey", F.xpath_string(xml, F.lit("p/b[1]")).alias("brand"), F.xpath_int(xml, F.lit("p/s")).alias("size"), F.xpath(xml, F.lit("p/b/text()")).alias("texts"), F.url_decode(F.url_encode("p_name")).alias("decoded"), row["n"].alias("n"), parsed["x"].alias("x"))

@@ -72,6 +72,20 @@ def d8_statistics(t):
     return t.events.groupBy("event_type").agg(F.round(F.stddev_samp(v), 6).alias("sd"), F.round(F.var_samp(v), 4).alias("var"), F.round(F.stddev_pop(v), 6).alias("sdp"), F.round(F.corr(v, u), 6).alias("corr"), F.round(F.covar_samp(v, u), 4).alias("cov"), F.round(F.covar_pop(v, u), 4).alias("covp"), F.round(F.regr_slope(v, u), 8).alias("slope"), F.round(F.regr_intercept(v, u), 6).alias("icept"), F.round(F.regr_r2(v, u), 9).alias("r2"), F.regr_count(v, u).alias("n"))
 
 
+@R.query("""SELECT event_type, round(regr_avgx(value, user_id), 6) AS ax, round(regr_avgy(value, user_id), 6) AS ay, round(regr_sxx(value, user_id) / count(*), 3) AS sxx,
+  round(regr_syy(value, user_id) / count(*), 3) AS syy, round(regr_sxy(value, user_id) / count(*), 3) AS sxy FROM events GROUP BY event_type""")
+def d8_regression_sums(t):
+    """Sums of squares and products, a row each, so rounding means the same at all sizes."""
+    v, u, n = F.col("value"), F.col("user_id"), F.count("*")
+    return t.events.groupBy("event_type").agg(
+        F.round(F.regr_avgx(v, u), 6).alias("ax"),
+        F.round(F.regr_avgy(v, u), 6).alias("ay"),
+        F.round(F.regr_sxx(v, u) / n, 3).alias("sxx"),
+        F.round(F.regr_syy(v, u) / n, 3).alias("syy"),
+        F.round(F.regr_sxy(v, u) / n, 3).alias("sxy"),
+    )
+
+
 @R.query("SELECT event_type, round(kurtosis_pop(value), 6) AS kurt, round((avg(value^3) - 3*avg(value)*var_pop(value) - avg(value)^3) / stddev_pop(value)^3, 6) AS skew FROM events GROUP BY event_type")
 def d9_moments(t):
     return t.events.groupBy("event_type").agg(F.round(F.kurtosis("value"), 6).alias("kurt"), F.round(F.skewness("value"), 6).alias("skew"))
@@ -112,6 +126,20 @@ def d13_mode(t):
     return t.lineitem.groupBy("l_returnflag").agg(F.mode("l_linenumber", True).alias("mode"))
 
 
+@R.query("""SELECT l_orderkey, first(o_custkey) AS first_, last(o_orderdate) AS last_, any_value(o_orderstatus) AS any_, any_value(CASE WHEN l_linenumber > 1 THEN o_custkey END) AS later
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY l_orderkey""")
+def d13_first_last(t):
+    """Of columns with one value in a group, as the order of rows is not fixed."""
+    later = F.when(F.col("l_linenumber") > 1, F.col("o_custkey"))
+    rows = t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    return rows.groupBy("l_orderkey").agg(F.first("o_custkey").alias("first_"), F.last("o_orderdate").alias("last_"), F.any_value("o_orderstatus").alias("any_"), F.first(later, ignorenulls=True).alias("later"))
+
+
+@R.query("SELECT user_id, string_agg(event_type, '>' ORDER BY event_id DESC) AS path FROM events GROUP BY user_id")
+def d14_listagg(t):
+    return t.events.groupBy("user_id").agg(F.expr("listagg(event_type, '>') WITHIN GROUP (ORDER BY event_id DESC)").alias("path"))
+
+
 @R.query("SELECT user_id, list(event_id ORDER BY event_id) AS ids, list_sort(list(DISTINCT event_type)) AS kinds, string_agg(event_type, ',' ORDER BY event_id) AS path FROM events GROUP BY user_id")
 def d14_collect(t):
     pairs = F.array_sort(F.collect_list(F.struct("event_id", "event_type")))
