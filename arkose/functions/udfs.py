@@ -61,6 +61,21 @@ def j4_udtf(t):
     return t.sql("SELECT p_partkey, word FROM {part}, LATERAL arkose_words(p_name)", "part")
 
 
+@R.query("SELECT p_partkey, length(p_name)::BIGINT AS letters FROM part")
+def j4_arrow_udtf(t):
+    """A table function on Arrow columns; null names have null letters."""
+    import pyarrow.compute as pc
+
+    @F.arrow_udtf(returnType="key bigint, letters bigint")
+    class Letters:
+        def eval(self, rows: pa.RecordBatch):
+            table = pa.table({"key": rows.column("p_partkey").cast(pa.int64()), "letters": pc.utf8_length(rows.column("p_name")).cast(pa.int64())})
+            yield table
+
+    t.spark.udtf.register("arkose_letters", Letters)
+    return t.sql("SELECT key AS p_partkey, letters FROM arkose_letters(TABLE(SELECT p_partkey, p_name FROM {part}))", "part")
+
+
 @R.query("SELECT user_id, event_id, value - max(value) OVER (PARTITION BY user_id) AS below FROM events")
 def j5_grouped_map(t):
     def below(pdf: pd.DataFrame) -> pd.DataFrame:
