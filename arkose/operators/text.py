@@ -52,6 +52,17 @@ def k5_html_text(t):
     return t.pages.select("page_id", text.alias("text"), F.lower(F.regexp_extract("url", r"^[A-Za-z]+://([^/?#:]+)", 1)).alias("host"))
 
 
+@R.query(r"""SELECT page_id, regexp_replace(regexp_replace(lower(regexp_extract(url, '^[A-Za-z]+://[^/?#]*')), '^(http://.*):80$', '\1'), '^(https://.*):443$', '\1')
+  || regexp_replace(regexp_replace(url, '#.*$', ''), '^[A-Za-z]+://[^/?#]*', '') AS url FROM pages""")
+def k5_normal_urls(t):
+    """Scheme and host in lower case, without the scheme's own port or a fragment."""
+    front = F.lower(F.regexp_extract("url", "^[A-Za-z]+://[^/?#]*", 0))
+    for scheme, port in (("http", 80), ("https", 443)):
+        front = F.regexp_replace(front, f"^({scheme}://.*):{port}$", "$1")
+    rest = F.regexp_replace(F.regexp_replace("url", "#.*$", ""), "^[A-Za-z]+://[^/?#]*", "")
+    return t.pages.select("page_id", F.concat(front, rest).alias("url"))
+
+
 @R.query("SELECT label, count(*) AS n, round(avg(sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]))), 5) AS norm FROM embeddings GROUP BY label")
 def k6_vector_norms(t):
     square = F.aggregate(F.transform("embedding", lambda x: x.cast("double") * x.cast("double")), F.lit(0.0), lambda a, x: a + x)

@@ -172,3 +172,10 @@ def a6_custom_source(t):
 def a7_inline_rows(t):
     values = t.spark.sql("SELECT * FROM VALUES (1, 'a'), (2, 'b'), (3, NULL) AS v(k, name)")
     return values.join(t.spark.range(10).withColumnRenamed("id", "r"), F.col("r") % 3 + 1 == F.col("k")).select("k", "name", "r")
+
+
+@R.query("SELECT k, name, count(*) AS n FROM (VALUES (1, 'a'), (2, 'b'), (3, NULL)) v(k, name) JOIN orders ON o_orderkey % 4 = k GROUP BY k, name")
+def a7_created_frame(t):
+    """Rows of the program; their number is fixed."""
+    rows = t.spark.createDataFrame([(1, "a"), (2, "b"), (3, None)], "k int, name string")
+    return t.orders.join(F.broadcast(rows), F.col("o_orderkey") % 4 == F.col("k")).groupBy("k", "name").agg(F.count("*").alias("n"))
