@@ -30,11 +30,33 @@ def stream(t, name: str = "events") -> DataFrame:
 
 
 def used_up(df: DataFrame, mode: str = "append") -> DataFrame:
-    """The rows a memory sink holds after all available input."""
-    name = f"arkose_{uuid.uuid4().hex}"
-    q = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", scratch(df.sparkSession)).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return df.sparkSession.table(name)
+    """The rows that files in the shared folder hold after all available input; nothing
+    passes through the driver. In update mode the rows of all batches, in complete mode
+    those of the last one. A batch that comes again replaces itself."""
+    spark, out = df.sparkSession, scratch(df.sparkSession)
+    q = df.writeStream.outputMode(mode).option("checkpointLocation", scratch(spark)).trigger(availableNow=True)
+    if mode == "append":
+        q.format("parquet").option("path", out).start().awaitTermination()
+        return spark.read.schema(df.schema).parquet(out)
+    numbers_seen: set[int] = set()
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/{number}")
+        numbers_seen.add(number)
+
+    q.foreachBatch(keep).start().awaitTermination()
+    wanted = sorted(numbers_seen)[-1:] if mode == "complete" else sorted(numbers_seen)
+    return spark.read.schema(df.schema).parquet(*[f"{out}/{n}" for n in wanted]) if wanted else spark.createDataFrame([], df.schema)
+
+
+def ended(t, *kinds: str) -> DataFrame:
+    """The events as a stream with events of user -1 in 2100, of the given kinds, in the same
+    batch: after it the watermark has passed all windows and timers of the others."""
+    s, out = stream(t), scratch(t.spark)
+    given = {"ts": "TIMESTAMP '2100-01-01'", "user_id": "-1L", "event_id": "-1L", "event_type": "kind"}
+    last = t.spark.createDataFrame([(k,) for k in kinds], "kind string")
+    last.select(*[F.expr(given.get(f.name, "NULL")).cast(f.dataType).alias(f.name) for f in s.schema]).write.parquet(out)
+    return s.union(t.spark.readStream.schema(s.schema).parquet(out))
 
 
 @contextmanager
@@ -136,22 +158,26 @@ def i2_sliding_stream(t):
     return used_up(_sliding(stream(t)), "complete")
 
 
-@R.query("""SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS "end", count(*) AS n FROM (
-  SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) <= INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events)) GROUP BY user_id, s""")
+_SESSIONS = """SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS "end", count(*) AS n FROM (
+  SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) <= INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events)) GROUP BY user_id, s"""
+
+
+@R.query(_SESSIONS)
 def i3_sessions(t):
     return sessions(t.events, ["user_id"], "ts", "30 minutes", F.count("*").alias("n"))
 
 
-@R.query()
+@R.query(_SESSIONS)
 def i3_sessions_stream(t):
     """Append mode: sessions that the watermark has closed."""
-    return used_up(sessions(stream(t).withWatermark("ts", "10 minutes"), ["user_id"], "ts", "30 minutes", F.count("*").alias("n")))
+    found = sessions(ended(t, "end").withWatermark("ts", "10 minutes"), ["user_id"], "ts", "30 minutes", F.count("*").alias("n"))
+    return used_up(found).where("user_id >= 0").withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("start", "end")})
 
 
-@R.query()
+@R.query(_HOURLY)
 def i4_watermark_append(t):
     """Append mode: windows end when the watermark passes them; later rows are dropped."""
-    return used_up(_hourly(stream(t).withWatermark("ts", "10 minutes")))
+    return used_up(_hourly(ended(t, "end").withWatermark("ts", "10 minutes"))).where("event_type <> 'end'")
 
 
 @R.query("SELECT DISTINCT user_id, event_type FROM events")
@@ -203,6 +229,60 @@ def i7_transform_with_state(t):
         return used_up(s, "update").groupBy("user_id").agg(F.max("n").alias("n"), F.max("kinds").alias("kinds"))
 
 
+@R.query("SELECT user_id, count(*) AS n, max(event_id) AS last FROM (SELECT *, min(ts) OVER (PARTITION BY user_id) AS first FROM events) WHERE ts < first + INTERVAL 24 HOUR GROUP BY user_id")
+def i7_list_and_timers(t):
+    """The first day of each user: a list keeps its events until an event-time timer ends it."""
+    from pyspark.sql.streaming.stateful_processor import StatefulProcessor
+
+    class FirstDay(StatefulProcessor):
+        def init(self, handle):
+            self.handle = handle
+            self.kept = handle.getListState("kept", "event_id long, us long")
+
+        def handleInputRows(self, key, rows, timers):
+            for f in rows:
+                self.kept.appendList([(int(e), int(us)) for e, us in zip(f["event_id"], f["us"])])
+            if not list(self.handle.listTimers()):
+                self.handle.registerTimer(min(us for _, us in self.kept.get()) // 1000 + 86_400_000)
+            yield pd.DataFrame({"user_id": [], "n": [], "last": []}).astype("int64")
+
+        def handleExpiredTimer(self, key, timers, expired):
+            kept = list(self.kept.get())
+            first = min(us for _, us in kept)
+            ids = [e for e, us in kept if us < first + 86_400_000_000]
+            self.kept.clear()
+            yield pd.DataFrame({"user_id": [key[0]], "n": [len(ids)], "last": [max(ids)]})
+
+        def close(self):
+            pass
+
+    with rocks(t.spark):
+        s = ended(t, "end").select("user_id", "event_id", "ts", F.unix_micros("ts").alias("us")).withWatermark("ts", "10 minutes")
+        return used_up(s.groupBy("user_id").transformWithStateInPandas(FirstDay(), "user_id long, n long, last long", "Append", "EventTime"))
+
+
+@R.query(_PER_USER)
+def i7_state_with_ttl(t):
+    """State that the store removes a day after its last change; a run is shorter."""
+    from pyspark.sql.streaming.stateful_processor import StatefulProcessor
+
+    class Counter(StatefulProcessor):
+        def init(self, handle):
+            self.n = handle.getValueState("n", "n long", 86_400_000)
+
+        def handleInputRows(self, key, rows, timers):
+            n = (self.n.get()[0] if self.n.exists() else 0) + sum(len(f) for f in rows)
+            self.n.update((n,))
+            yield pd.DataFrame({"user_id": [key[0]], "n": [n]})
+
+        def close(self):
+            pass
+
+    with rocks(t.spark):
+        s = stream(t).select("user_id").groupBy("user_id").transformWithStateInPandas(Counter(), "user_id long, n long", "Update", "ProcessingTime")
+        return used_up(s, "update").groupBy("user_id").agg(F.max("n").alias("n"))
+
+
 @R.query("SELECT c.event_id AS click_id, p.event_id AS purchase_id FROM events c JOIN events p ON c.user_id = p.user_id AND p.ts BETWEEN c.ts AND c.ts + INTERVAL 1 HOUR WHERE c.event_type = 'click' AND p.event_type = 'purchase'")
 def c15_stream_stream_join(t):
     s = stream(t)
@@ -213,16 +293,8 @@ def c15_stream_stream_join(t):
 
 @R.query("SELECT v.event_id AS view_id, e.event_id AS error_id FROM events v LEFT JOIN events e ON v.user_id = e.user_id AND e.event_type = 'error' AND e.ts BETWEEN v.ts AND v.ts + INTERVAL 30 MINUTE WHERE v.event_type = 'view'")
 def i8_stream_stream_join(t):
-    """An outer join: rows without a match come when the watermark has passed their time,
-    so one late event without partners (of user 0, left out again) ends the stream."""
-    s = stream(t)
-    end = t.spark.sql("SELECT TIMESTAMP '2100-01-01' AS ts")
-    batch = t.events.withColumn("ts", F.col("ts").cast("timestamp"))
-    last = end.select(F.lit(-1).cast("long").alias("event_id"), "ts", F.lit(-1).cast("long").alias("user_id"), F.explode(F.array(F.lit("view"), F.lit("error"))).alias("event_type"))
-    out = scratch(t.spark)
-    batch.select(*last.columns).write.parquet(f"{out}/1")
-    last.write.parquet(f"{out}/2")
-    s = t.spark.readStream.schema(last.schema).option("maxFilesPerTrigger", 1).parquet(f"{out}/[12]")
+    """An outer join: rows without a match come when the watermark has passed their time."""
+    s = ended(t, "view", "error")
     v = s.where("event_type = 'view'").select(F.col("event_id").alias("view_id"), F.col("user_id").alias("u"), F.col("ts").alias("vt")).withWatermark("vt", "1 hour")
     e = s.where("event_type = 'error'").select(F.col("event_id").alias("error_id"), F.col("user_id").alias("w"), F.col("ts").alias("et")).withWatermark("et", "1 hour")
     joined = v.join(e, F.expr("u = w AND et BETWEEN vt AND vt + INTERVAL 30 MINUTE"), "left_outer")
