@@ -29,12 +29,13 @@ def stream(t, name: str = "events") -> DataFrame:
     return s.withColumn("ts", F.col("ts").cast("timestamp")) if "ts" in s.columns else s
 
 
-def used_up(df: DataFrame, mode: str = "append") -> DataFrame:
+def used_up(df: DataFrame, mode: str = "append", once: bool = False) -> DataFrame:
     """The rows that files in the shared folder hold after all available input; nothing
     passes through the driver. In update mode the rows of all batches, in complete mode
-    those of the last one. A batch that comes again replaces itself."""
+    those of the last one. A batch that comes again replaces itself. `once` ends after one
+    batch: state with processing times would ask for empty batches for ever."""
     spark, out = df.sparkSession, scratch(df.sparkSession)
-    q = df.writeStream.outputMode(mode).option("checkpointLocation", scratch(spark)).trigger(availableNow=True)
+    q = df.writeStream.outputMode(mode).option("checkpointLocation", scratch(spark)).trigger(**({"once": True} if once else {"availableNow": True}))
     if mode == "append":
         q.format("parquet").option("path", out).start().awaitTermination()
         return spark.read.schema(df.schema).parquet(out)
@@ -246,7 +247,7 @@ def i7_list_and_timers(t):
                 self.handle.registerTimer(min(us for _, us in self.kept.get()) // 1000 + 86_400_000)
             yield pd.DataFrame({"user_id": [], "n": [], "last": []}).astype("int64")
 
-        def handleExpiredTimer(self, key, timers, expired):
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
             kept = list(self.kept.get())
             first = min(us for _, us in kept)
             ids = [e for e, us in kept if us < first + 86_400_000_000]
@@ -280,7 +281,7 @@ def i7_state_with_ttl(t):
 
     with rocks(t.spark):
         s = stream(t).select("user_id").groupBy("user_id").transformWithStateInPandas(Counter(), "user_id long, n long", "Update", "ProcessingTime")
-        return used_up(s, "update").groupBy("user_id").agg(F.max("n").alias("n"))
+        return used_up(s, "update", once=True).groupBy("user_id").agg(F.max("n").alias("n"))
 
 
 @R.query("SELECT c.event_id AS click_id, p.event_id AS purchase_id FROM events c JOIN events p ON c.user_id = p.user_id AND p.ts BETWEEN c.ts AND c.ts + INTERVAL 1 HOUR WHERE c.event_type = 'click' AND p.event_type = 'purchase'")
