@@ -5,7 +5,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from arkose.operators.joins import asof_join, hot_keys, interval_join, not_in, salted_join
-from arkose.operators.ordered import before
+from arkose.operators.ordered import before, numbered
 from arkose.operators.text import first_copies, word_grams
 from arkose.operators.windows import top_k_per_group
 from arkose.streaming.events import sessions
@@ -50,6 +50,19 @@ def test_running_sums_over_ranges(spark):
     assert before(df.limit(0), [F.col("i").asc()], {"n": F.lit(1)}).collect() == []
 
 
+def test_numbers_over_ranges(spark):
+    import random
+
+    values = [random.Random(i).choice([None, 1, 2, 3]) for i in range(300)]
+    df = spark.createDataFrame(list(enumerate(values)), "i int, v int").repartition(7)
+    got = {r.i: r.place for r in numbered(df, [F.col("v").desc_nulls_last(), F.col("i").asc()], "place").collect()}
+    want = sorted(range(300), key=lambda i: (values[i] is None, -(values[i] or 0), i))
+    assert got == {i: n for n, i in enumerate(want, 1)}
+    assert numbered(df.limit(0), [F.col("i").asc()], "place").collect() == []
+    ties = numbered(spark.createDataFrame([(1,)] * 50, "x int"), [F.col("x").asc()], "place")
+    assert sorted(r.place for r in ties.collect()) == list(range(1, 51))
+
+
 def test_plans_have_no_single_task_or_nested_loop(spark):
     from arkose.operators import joins, relational
     from arkose.registry import Tables
