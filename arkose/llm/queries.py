@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arkose.llm import chat, common, media, mixing, packing, pii, quality, simhash, token_counts, token_store, vector_search
+from arkose.llm import chat, common, media, mixing, packing, pii, quality, resampling, simhash, token_counts, token_store, vector_search
 
 BYTE_BPE, WORD_BPE = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
 QUERIES, ORACLES = {}, {}
@@ -88,3 +88,11 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op10_mixing"] = mixing.ORACLE
+
+
+@query
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.ranked(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
+
+
+ORACLES["op13_importance_resampling"] = resampling.ORACLE
