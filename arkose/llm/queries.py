@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arkose.llm import chat, common, media, mixing, packing, pii, quality, resampling, simhash, token_counts, token_store, vector_search
+from arkose.llm import chat, common, media, mixing, packing, pii, quality, resampling, simhash, token_counts, token_store, vector_search, warc, whitening
 
 BYTE_BPE, WORD_BPE = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
 QUERIES, ORACLES = {}, {}
@@ -90,6 +90,21 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLES["op10_mixing"] = mixing.ORACLE
 
 
+@query
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.components(common.table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op12_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = common.shared_dir(spark)
+    warc.write_archive(common.table(spark, sf_dir, "pages"), out)
+    return warc.read_archive(spark, out)
+
+
+ORACLES["op12_warc_archive"] = warc.ORACLE
+
+
 @query
 def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.ranked(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
