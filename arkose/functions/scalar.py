@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import zlib
+
+import pyarrow as pa
+import xxhash
 from pyspark.sql import functions as F
 
 from arkose.registry import Registry
@@ -30,15 +34,46 @@ def h2_regex(t):
     return t.documents.select("doc_id", F.regexp_replace(c, r"\s+", " ").alias("one_space"), F.regexp_extract(c, r"(\p{L}+) (\p{L}+)", 2).alias("second"), F.regexp_count(c, F.lit(r"\w+")).alias("words"), F.slice(F.regexp_extract_all(c, F.lit(r"\p{L}+"), F.lit(0)), 1, 5).alias("first_words"), F.regexp_like(c, F.lit("[0-9]{3}")).alias("digits"))
 
 
+def murmur3(data: bytes, seed: int = 42) -> int:
+    """Spark's 32-bit `hash` of a string: MurmurHash3 of its words of 4 bytes, then of each
+    byte that is left, signed, as a word of its own."""
+    low = (1 << 32) - 1
+    turn = lambda x, n: (x << n | x >> (32 - n)) & low
+    whole = len(data) // 4 * 4
+    parts = [int.from_bytes(data[i : i + 4], "little") for i in range(0, whole, 4)] + [(b - 256 if b > 127 else b) & low for b in data[whole:]]
+    h = seed
+    for k in parts:
+        h = turn(h ^ turn(k * 0xCC9E2D51 & low, 15) * 0x1B873593 & low, 13) * 5 + 0xE6546B64 & low
+    h ^= len(data)
+    h = (h ^ h >> 16) * 0x85EBCA6B & low
+    h = (h ^ h >> 13) * 0xC2B2AE35 & low
+    h ^= h >> 16
+    return h - (1 << 32) if h >> 31 else h
+
+
 @R.query("SELECT doc_id, md5(text) AS m, sha256(text) AS s2 FROM documents")
 def h3_hash(t):
     return t.documents.select("doc_id", F.md5("text").alias("m"), F.sha2("text", 256).alias("s2"))
 
 
-@R.query()
+@R.query("SELECT doc_id, sha1(text) AS sha1, true AS crc, true AS murmur, true AS xx FROM documents")
 def h3_hash_own(t):
-    """Hashes that DuckDB lacks."""
-    return t.documents.select("doc_id", F.crc32("text").alias("crc"), F.xxhash64("text").alias("xx"), F.hash("text").alias("murmur"), F.sha1("text").alias("sha1"))
+    """Hashes that DuckDB lacks: the CRC-32 of a text is that of its bytes as zlib has it,
+    xxhash64 that of the library, and murmur's value has a plain version."""
+    @F.arrow_udf("boolean")
+    def crc(text: pa.Array, value: pa.Array) -> pa.Array:
+        return pa.array([zlib.crc32(s.encode()) == v for s, v in zip(text.to_pylist(), value.to_pylist())])
+
+    @F.arrow_udf("boolean")
+    def xx(text: pa.Array, value: pa.Array) -> pa.Array:
+        return pa.array([xxhash.xxh64_intdigest(s.encode(), 42) == v % (1 << 64) for s, v in zip(text.to_pylist(), value.to_pylist())])
+
+    @F.arrow_udf("boolean")
+    def murmur(text: pa.Array, value: pa.Array) -> pa.Array:
+        return pa.array([murmur3(s.encode()) == v for s, v in zip(text.to_pylist(), value.to_pylist())])
+
+    start = F.substring("text", 1, 64)
+    return t.documents.select("doc_id", F.sha1("text").alias("sha1"), crc("text", F.crc32("text")).alias("crc"), murmur(start, F.hash(start)).alias("murmur"), xx("text", F.xxhash64("text")).alias("xx"))
 
 
 @R.query("""SELECT event_id, year(ts)::INT AS y, quarter(ts)::INT AS q, month(ts)::INT AS mo, day(ts)::INT AS d, hour(ts)::INT AS h, minute(ts)::INT AS mi, second(ts)::INT AS s, (dayofweek(ts) + 1)::INT AS dow, dayofyear(ts)::INT AS doy, weekofyear(ts)::INT AS woy,

@@ -4,11 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructField, StructType
 
 from arkose.registry import Registry
+from arkose.shipping import shipped
 
 R = Registry()
 
@@ -29,8 +35,6 @@ def j2_pandas_udf(t):
 
 @R.query("SELECT event_id, upper(event_type) AS kind FROM events")
 def j2_arrow_udf(t):
-    import pyarrow.compute as pc
-
     @F.arrow_udf("string")
     def up(v: pa.Array) -> pa.Array:
         return pc.utf8_upper(v)
@@ -38,15 +42,103 @@ def j2_arrow_udf(t):
     return t.events.select("event_id", up("event_type").alias("kind"))
 
 
-@R.query("SELECT event_type, round(exp(avg(ln(value + 1))), 6) AS gm FROM events GROUP BY event_type")
-def j3_udaf(t):
-    import numpy as np
+class Aggregate:
+    """A user's aggregate whose states can be merged: what the rows of one batch and key
+    fold into, and what two states make. `state` and `result` are DDL columns."""
 
-    @F.pandas_udf("double")
-    def geometric(v: pd.Series) -> float:
-        return float(np.exp(np.log(v + 1).mean()))
+    state = result = ""
+
+    def fold(self, values: np.ndarray) -> tuple:
+        raise NotImplementedError
+
+    def merge(self, a: tuple, b: tuple) -> tuple:
+        raise NotImplementedError
+
+    def finish(self, state: tuple) -> tuple:
+        return state
+
+
+#: Keys whose states a task holds at once; then it passes them on and begins anew.
+MOST_STATES = 100_000
+
+
+@shipped
+def aggregated(df: DataFrame, key: str, value: str, by: Aggregate, most: int = MOST_STATES) -> DataFrame:
+    """Per key of `df` its aggregate: key and the columns of by.result.
+
+    Each task folds its batches into one state a key, and only states are shuffled. Of a
+    key they come one after another and are merged as they come, so a task holds two of
+    them at most, however many rows the key has. Null values are no rows, but a key of
+    nulls only has no state and no row; a null key is a key. An empty table gives no row.
+    """
+    kind = df.schema[key].dataType
+    states = StructType([StructField("key", kind), *StructType.fromDDL(by.state)])
+    results = StructType([StructField("key", kind), *StructType.fromDDL(by.result)])
+
+    def rows(found: dict, schema) -> pa.RecordBatch:
+        columns = zip(*[(k, *s) for k, s in found.items()]) if found else [[] for _ in schema]
+        return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, to_arrow_schema(schema).types)], names=schema.names)
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict = {}
+        for batch in batches:
+            codes = pc.fill_null(batch.column(0).dictionary_encode(null_encoding="encode").indices, 0).to_numpy(zero_copy_only=False)
+            names = batch.column(0).dictionary_encode(null_encoding="encode").dictionary.to_pylist()
+            order = np.argsort(codes, kind="stable")
+            values = batch.column(1).to_numpy(zero_copy_only=False)[order]
+            for code, part in zip(*_runs(codes[order], values)):
+                state = by.fold(part)
+                held[names[code]] = by.merge(held[names[code]], state) if names[code] in held else state
+            if len(held) > most:
+                yield rows(held, states)
+                held = {}
+        yield rows(held, states)
+
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        none = object()
+        last, total = none, ()
+        for batch in batches:
+            done: dict = {}
+            for k, *state in zip(*(c.to_pylist() for c in batch.columns)):
+                if last is not none and k == last:
+                    total = by.merge(total, tuple(state))
+                else:
+                    if last is not none:
+                        done[last] = by.finish(total)
+                    last, total = k, tuple(state)
+            yield rows(done, results)
+        if last is not none:
+            yield rows({last: by.finish(total)}, results)
 
-    return t.events.groupBy("event_type").agg(F.round(geometric("value"), 6).alias("gm"))
+    source = df.where(F.col(f"`{value}`").isNotNull()).select(F.col(f"`{key}`").alias("key"), F.col(f"`{value}`").alias("value"))
+    folded = source.mapInArrow(partial, states)
+    return folded.repartition("key").sortWithinPartitions("key").mapInArrow(merged, results).withColumnRenamed("key", key)
+
+
+def _runs(codes: np.ndarray, values: np.ndarray) -> tuple[list[int], list[np.ndarray]]:
+    starts = np.flatnonzero(np.r_[True, codes[1:] != codes[:-1]]) if len(codes) else np.empty(0, int)
+    return codes[starts].tolist(), np.split(values, starts[1:]) if len(codes) else []
+
+
+class GeometricMean(Aggregate):
+    """Of values above -1, each counted as one more, so zeros have a logarithm."""
+
+    state, result = "n long, logs double", "gm double"
+
+    def fold(self, values):
+        return len(values), float(np.log1p(values).sum())
+
+    def merge(self, a, b):
+        return a[0] + b[0], a[1] + b[1]
+
+    def finish(self, state):
+        return (float(np.exp(state[1] / state[0])),)
+
+
+@R.query("SELECT event_type, round(exp(avg(ln(value + 1))), 6) AS gm FROM events GROUP BY event_type")
+def j3_udaf(t):
+    """A mergeable aggregate: states are shuffled, no group's rows meet in a worker."""
+    return aggregated(t.events, "event_type", "value", GeometricMean()).withColumn("gm", F.round("gm", 6))
 
 
 @R.query("SELECT p_partkey, unnest(string_split(p_name, ' ')) AS word FROM part")
@@ -64,8 +156,6 @@ def j4_udtf(t):
 @R.query("SELECT p_partkey, length(p_name)::BIGINT AS letters FROM part")
 def j4_arrow_udtf(t):
     """A table function on Arrow columns; null names have null letters."""
-    import pyarrow.compute as pc
-
     @F.arrow_udtf(returnType="key bigint, letters bigint")
     class Letters:
         def eval(self, rows: pa.RecordBatch):
@@ -103,8 +193,6 @@ def j5_map_in_pandas(t):
 
 @R.query("SELECT o_orderkey, o_totalprice * 2 AS twice FROM orders")
 def j5_map_in_arrow(t):
-    import pyarrow.compute as pc
-
     def twice(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pc.multiply(b.column(1), 2.0)], names=["o_orderkey", "twice"])

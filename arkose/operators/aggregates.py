@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from arkose.operators.quantiles import exact_quantiles
 from arkose.registry import Registry, as_sum, mean, money
 
 R = Registry()
@@ -93,7 +94,9 @@ def d9_moments(t):
 
 @R.query("SELECT event_type, median(value) AS mid, round(quantile_cont(value, 0.9), 6) AS p90 FROM events GROUP BY event_type")
 def d10_percentile(t):
-    return t.events.groupBy("event_type").agg(F.median("value").alias("mid"), F.round(F.percentile("value", F.lit(0.9)), 6).alias("p90"))
+    """Found by selection, so a group of any size has partial steps only."""
+    found = exact_quantiles(t.events, ["event_type"], "value", {"mid": 0.5, "p90": 0.9})
+    return found.withColumn("p90", F.round("p90", 6))
 
 
 @R.query("SELECT event_type, quantile_disc(value, 0.25) AS q1, quantile_disc(value, 0.75) AS q3 FROM events GROUP BY event_type")
@@ -109,12 +112,6 @@ def d12_sketches(t):
     return a.select("exact", near(F.col("a")).alias("hll_near"), near(F.col("h")).alias("sketch_near"), near(F.col("th")).alias("theta_near"))
 
 
-@R.query()
-def d12_quantile_and_frequency_sketches(t):
-    """KLL quantiles, and a count-min sketch's size, by flag."""
-    return t.lineitem.groupBy("l_returnflag").agg(F.kll_sketch_get_quantile_bigint(F.kll_sketch_agg_bigint("l_partkey"), F.lit(0.5)).alias("kll_median"), F.length(F.count_min_sketch("l_partkey", F.lit(0.01), F.lit(0.95), F.lit(7))).alias("cms_bytes"))
-
-
 @R.query("SELECT user_id, arg_max(event_id, ts) AS latest, arg_min(event_id, ts) AS earliest, arg_max(event_type, value) AS top_type FROM events GROUP BY user_id")
 def d13_max_by(t):
     return t.events.groupBy("user_id").agg(F.max_by("event_id", "ts").alias("latest"), F.min_by("event_id", "ts").alias("earliest"), F.max_by("event_type", "value").alias("top_type"))
@@ -169,6 +166,11 @@ def d17_histogram(t):
     return t.events.groupBy(F.floor(F.col("value") / 10).alias("bin")).agg(F.count("*").alias("n"))
 
 
-@R.query()
+@R.query("SELECT event_type, 8::BIGINT AS bins, true AS ordered, true AS whole, true AS near FROM events GROUP BY event_type")
 def d17_histogram_numeric(t):
-    return t.events.groupBy("event_type").agg(F.histogram_numeric("value", F.lit(8)).alias("bins")).select("event_type", F.inline("bins"))
+    """Eight bins by type, in order, that hold all rows, with the mean of all values."""
+    by = t.events.groupBy("event_type").agg(F.histogram_numeric("value", F.lit(8)).alias("bins"), F.count("*").alias("n"), F.avg("value").alias("mean"))
+    total = lambda part: F.aggregate("bins", F.lit(0.0), lambda a, b: a + part(b).cast("double"))
+    mean = total(lambda b: b["x"] * b["y"]) / F.col("n")
+    x = F.transform("bins", lambda b: b["x"])
+    return by.select("event_type", F.size("bins").cast("long").alias("bins"), (F.array_sort(x) == x).alias("ordered"), (total(lambda b: b["y"]) == F.col("n")).alias("whole"), (F.abs(mean - F.col("mean")) < 0.01 * F.abs(F.col("mean"))).alias("near"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from arkose.registry import Registry, as_sum, money
+from arkose.storage import settled
 
 R = Registry()
 #: More keys than this cannot be hot; the bound keeps what is broadcast small.
@@ -80,10 +81,18 @@ def salted_join(large: DataFrame, other: DataFrame, key: str, salts: int, spread
 
 
 def hot_keys(df: DataFrame, key: str, share: int = 1000) -> DataFrame:
-    """The keys of more than one row in `share`, so fewer than `share` of them: counts with
-    a partial step."""
+    """The keys of more than one row in `share`, so fewer than `share` of them: counted once,
+    with a partial step, and written."""
     counts = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("__n"))
-    return counts.where(F.col("__n") * share > df.count()).select(key)
+    return settled(counts.where(F.col("__n") * share > df.count()).select(key))
+
+
+def skew_join(large: DataFrame, other: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """A join on `key` by sorting whose skewed partitions Spark cuts while it runs. It can cut
+    only where each input comes straight from a shuffle of its own, so `other`, which may
+    be an aggregate by the same key, is written before. Without statistics or salts: the
+    sizes of the shuffled partitions decide."""
+    return large.join(settled(other).hint("merge"), key, how)
 
 
 _RICH = "(SELECT * FROM customer WHERE c_acctbal > 5000)"
@@ -238,6 +247,32 @@ def c14_salted_join(t):
     return salted_join(lines, orders, "k", 8, F.struct("l_partkey", "l_linenumber"), hot_keys(lines, "k")).groupBy("o_orderstatus").agg(F.count("*").alias("n"))
 
 
+_SKEWED = "SELECT CASE WHEN l_orderkey % 3 = 0 THEN 1 ELSE l_partkey END AS k, l_orderkey, l_linenumber FROM lineitem"
+_BY_BRAND = f"SELECT p_brand, count(*) AS n, sum(l_linenumber)::BIGINT AS lines FROM ({_SKEWED}) JOIN (SELECT p_partkey AS k, p_brand FROM part) USING (k) GROUP BY p_brand"
+
+
+def _skewed(t) -> tuple[DataFrame, DataFrame]:
+    """Order lines, a third of them of one part, and the parts."""
+    return t.sql(_SKEWED.replace("FROM lineitem", "FROM {lineitem}"), "lineitem"), t.part.select(F.col("p_partkey").alias("k"), "p_brand")
+
+
+def _by_brand(joined: DataFrame) -> DataFrame:
+    return joined.groupBy("p_brand").agg(F.count("*").alias("n"), F.sum(F.col("l_linenumber").cast("long")).alias("lines"))
+
+
+@R.query(_BY_BRAND)
+def c14_skew_join(t):
+    """A third of the rows has one key: adaptive execution splits its partition."""
+    return _by_brand(skew_join(*_skewed(t), "k"))
+
+
+@R.query(_BY_BRAND)
+def c14_salted_skew(t):
+    """The same rows with the hot key counted and spread over salts."""
+    lines, parts = _skewed(t)
+    return _by_brand(salted_join(lines, parts, "k", 16, F.struct("l_orderkey", "l_linenumber"), hot_keys(lines, "k", 100)))
+
+
 @R.query("SELECT o_orderpriority, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY o_orderpriority")
 def c14_bucketed_join(t):
     """Both sides written in equal buckets: the join of the tables needs no exchange."""

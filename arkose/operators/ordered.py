@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from arkose.sources.formats import scratch
+from arkose.storage import shared_dir
 
 
 def before(df: DataFrame, order: list[Column], sums: dict[str, Column]) -> DataFrame:
@@ -19,7 +19,7 @@ def before(df: DataFrame, order: list[Column], sums: dict[str, Column]) -> DataF
     added up in the driver. No rows give no rows. Nulls go where `order` puts them.
     """
     spark, part = df.sparkSession, "__part"
-    path = scratch(spark)
+    path = shared_dir(spark)
     named = df.withColumns({f"__{n}": c.cast("long") for n, c in sums.items()})
     ranged = named.repartitionByRange(*order).withColumn(part, F.spark_partition_id())
     ranged.write.parquet(path)
@@ -43,7 +43,7 @@ def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     driver. One shuffle, no window, no task with all rows. Ties have different places.
     The written table is read again, so places do not change when a task is run again.
     """
-    spark, path, at = df.sparkSession, scratch(df.sparkSession), F.col("__at")
+    spark, path, at = df.sparkSession, shared_dir(df.sparkSession), F.col("__at")
     ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id())
     ranged.write.parquet(path)
     rows = spark.read.schema(ranged.schema).parquet(path)

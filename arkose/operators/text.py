@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from arkose.operators.filters import member_test
 from arkose.registry import Registry
+from arkose.storage import settled
 
 R = Registry()
 
@@ -26,18 +28,40 @@ _GRAMS = """SELECT DISTINCT {id}, array_to_string(w[i:i+7], ' ') AS gram FROM (S
   FROM (SELECT {id}, regexp_extract_all(lower(text), '[^\\s]+') AS w FROM {table}))"""
 
 
-def word_grams(df: DataFrame, id_col: str, n: int = 8) -> DataFrame:
-    """Distinct (id, hash) of the n-word runs of `text`."""
-    words = F.filter(F.split(F.lower("text"), r"\s+"), lambda w: w != "")
-    rows = df.select(id_col, words.alias("w")).where(F.size("w") >= n)
-    grams = F.transform(F.sequence(F.lit(1), F.size("w") - (n - 1)), lambda i: F.xxhash64(F.array_join(F.slice("w", i, n), " ")))
-    return rows.select(id_col, F.explode(F.array_distinct(grams)).alias("h"))
+def words(text: Column) -> Column:
+    """The words of a text in lower case; none for null."""
+    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"\s+"), "")
+
+
+def word_runs(df: DataFrame, id_col: str, n: int = 8, wanted=None) -> DataFrame:
+    """(id, gram, h): the runs of n words of `text`, repeats included, with their hash. With
+    `wanted`, a test of hashes, only runs that pass it leave the scan of `df`: a text's places
+    are exploded, and each run is hashed and tested where it is made."""
+    rows = df.select(id_col, words(F.col("text")).alias("w")).where(F.size("w") >= n)
+    places = rows.select(id_col, "w", F.explode(F.sequence(F.lit(0), F.size("w") - n)).alias("i"))
+    gram = F.concat_ws(" ", *[F.get("w", F.col("i") + k) for k in range(n)])
+    made = places.select(id_col, gram.alias("gram")).select(id_col, F.inline(F.array(F.struct("gram", F.xxhash64("gram").alias("h")))))
+    return made if wanted is None else made.where(wanted(F.col("h")))
+
+
+def shared_runs(df: DataFrame, items: DataFrame, id_col: str, item_col: str, n: int = 8) -> DataFrame:
+    """(id, item, shared): how many different runs of n words a text of `df` shares with a
+    text of `items`, where there is one. Null ids are ids of their own, rows of one id are
+    one text cut in parts; null, empty and short texts share nothing.
+
+    The items' hashes make a filter of bounded size, and what passes it meets the items'
+    written runs, hash and words alike, so equal hashes of different runs count for nothing.
+    """
+    theirs = settled(word_runs(items, item_col, n).groupBy(item_col, "gram", "h").agg(F.lit(1).alias("one")).drop("one"))
+    mine = word_runs(df, id_col, n, member_test(theirs.select("h").distinct()))
+    hits = mine.join(theirs, ["h", "gram"]).groupBy(id_col, item_col, "gram").agg(F.lit(1).alias("one"))
+    return hits.groupBy(id_col, item_col).agg(F.count("*").alias("shared"))
 
 
 @R.query("WITH d AS (" + _GRAMS.format(id="doc_id", table="documents") + "), b AS (" + _GRAMS.format(id="item_id", table="benchmark") + ") SELECT doc_id, item_id, count(*) AS shared FROM d JOIN b USING (gram) GROUP BY ALL")
 def k3_decontamination(t):
-    """Documents that share runs of 8 words with a benchmark item: an equi-join of hashes."""
-    return word_grams(t.documents, "doc_id").join(word_grams(t.benchmark, "item_id"), "h").groupBy("doc_id", "item_id").agg(F.count("*").alias("shared"))
+    """Documents that share runs of 8 words with a benchmark item."""
+    return shared_runs(t.documents, t.benchmark, "doc_id", "item_id")
 
 
 @R.query(r"SELECT doc_id, len(regexp_extract_all(text, '\w+'))::INT AS words, len(regexp_extract_all(text, '[.!?]'))::INT AS stops, (len(text) - len(replace(text, chr(10), '')) + 1)::INT AS lines, round(len(regexp_extract_all(text, '[A-Z]')) / greatest(len(text), 1), 6) AS upper_share FROM documents")

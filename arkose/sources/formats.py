@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame
@@ -11,24 +9,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 from arkose.registry import Registry
+from arkose.storage import shared_dir
 
 R = Registry()
 
 
-def scratch(spark) -> str:
-    """A fresh folder that driver and executors share: under spark.checkpoint.dir (or the
-    folder of setCheckpointDir). Where neither is set, a session on one machine (tests)
-    gets a temporary folder; on a cluster that is an error."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not root:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        root = scratch.own = getattr(scratch, "own", None) or "file://" + tempfile.mkdtemp(prefix="arkose-")
-    return f"{root}/scratch/{uuid.uuid4().hex}"
-
-
 def round_trip(df: DataFrame, kind: str, **options) -> DataFrame:
-    path = scratch(df.sparkSession)
+    path = shared_dir(df.sparkSession)
     df.write.format(kind).options(**options).save(path)
     return df.sparkSession.read.format(kind).schema(df.schema).options(**options).load(path)
 
@@ -36,7 +23,7 @@ def round_trip(df: DataFrame, kind: str, **options) -> DataFrame:
 def bucketed(df: DataFrame, key: str, buckets: int = 8) -> DataFrame:
     """`df` as a table of the warehouse in buckets of `key`, sorted in each."""
     name = f"arkose_{uuid.uuid4().hex}"
-    df.write.bucketBy(buckets, key).sortBy(key).saveAsTable(name, path=scratch(df.sparkSession))
+    df.write.bucketBy(buckets, key).sortBy(key).saveAsTable(name, path=shared_dir(df.sparkSession))
     return df.sparkSession.table(name)
 
 
@@ -68,7 +55,7 @@ def a2_text_round_trip(t):
 
 @R.query("SELECT o_orderkey, o_totalprice, o_orderstatus FROM orders WHERE o_orderstatus = 'F'")
 def a3_partition_pruning(t):
-    path = scratch(t.spark)
+    path = shared_dir(t.spark)
     t.orders.select("o_orderkey", "o_totalprice", "o_orderstatus").write.partitionBy("o_orderstatus").parquet(path)
     return t.spark.read.parquet(path).where("o_orderstatus = 'F'")
 

@@ -15,7 +15,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.window import Window
 
 from arkose.registry import Registry, money
-from arkose.sources.formats import numbers, scratch
+from arkose.sources.formats import numbers
+from arkose.storage import shared_dir
 
 R = Registry()
 _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -34,8 +35,8 @@ def used_up(df: DataFrame, mode: str = "append", once: bool = False) -> DataFram
     passes through the driver. In update mode the rows of all batches, in complete mode
     those of the last one. A batch that comes again replaces itself. `once` ends after one
     batch: state with processing times would ask for empty batches for ever."""
-    spark, out = df.sparkSession, scratch(df.sparkSession)
-    q = df.writeStream.outputMode(mode).option("checkpointLocation", scratch(spark)).trigger(**({"once": True} if once else {"availableNow": True}))
+    spark, out = df.sparkSession, shared_dir(df.sparkSession)
+    q = df.writeStream.outputMode(mode).option("checkpointLocation", shared_dir(spark)).trigger(**({"once": True} if once else {"availableNow": True}))
     if mode == "append":
         q.format("parquet").option("path", out).start().awaitTermination()
         return spark.read.schema(df.schema).parquet(out)
@@ -53,7 +54,7 @@ def used_up(df: DataFrame, mode: str = "append", once: bool = False) -> DataFram
 def ended(t, *kinds: str) -> DataFrame:
     """The events as a stream with events of user -1 in 2100, of the given kinds, in the same
     batch: after it the watermark has passed all windows and timers of the others."""
-    s, out = stream(t), scratch(t.spark)
+    s, out = stream(t), shared_dir(t.spark)
     given = {"ts": "TIMESTAMP '2100-01-01'", "user_id": "-1L", "event_id": "-1L", "event_type": "kind"}
     last = t.spark.createDataFrame([(k,) for k in kinds], "kind string")
     last.select(*[F.expr(given.get(f.name, "NULL")).cast(f.dataType).alias(f.name) for f in s.schema]).write.parquet(out)
@@ -83,27 +84,27 @@ def a4_file_stream(t):
 
 @R.query("SELECT event_id, value FROM events WHERE value > 50")
 def a5_foreach_batch(t):
-    out = scratch(t.spark)
+    out = shared_dir(t.spark)
 
     def keep(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/batch={number}")  # a batch that comes again replaces itself
 
-    q = stream(t).where("value > 50").select("event_id", "value").writeStream.foreachBatch(keep).option("checkpointLocation", scratch(t.spark)).trigger(availableNow=True).start()
+    q = stream(t).where("value > 50").select("event_id", "value").writeStream.foreachBatch(keep).option("checkpointLocation", shared_dir(t.spark)).trigger(availableNow=True).start()
     q.awaitTermination()
     return t.spark.read.schema("event_id long, value double, batch int").parquet(out).drop("batch")
 
 
 @R.query("SELECT event_id, user_id FROM events")
 def a5_file_sink(t):
-    out = scratch(t.spark)
-    stream(t).select("event_id", "user_id").writeStream.format("parquet").option("path", out).option("checkpointLocation", scratch(t.spark)).trigger(availableNow=True).start().awaitTermination()
+    out = shared_dir(t.spark)
+    stream(t).select("event_id", "user_id").writeStream.format("parquet").option("path", out).option("checkpointLocation", shared_dir(t.spark)).trigger(availableNow=True).start().awaitTermination()
     return t.spark.read.schema("event_id long, user_id long").parquet(out)
 
 
 @R.query("SELECT event_id, event_type FROM events WHERE event_type = 'error'")
 def a5_table_sink(t):
     name = f"arkose_{uuid.uuid4().hex}"
-    q = stream(t).where("event_type = 'error'").select("event_id", "event_type").writeStream.option("checkpointLocation", scratch(t.spark)).option("path", scratch(t.spark)).trigger(availableNow=True).toTable(name)
+    q = stream(t).where("event_type = 'error'").select("event_id", "event_type").writeStream.option("checkpointLocation", shared_dir(t.spark)).option("path", shared_dir(t.spark)).trigger(availableNow=True).toTable(name)
     q.awaitTermination()
     return t.spark.table(name)
 
@@ -113,7 +114,7 @@ def a6_custom_stream_source(t):
     numbers(t.spark)  # registers the source
     s = t.spark.readStream.format("arkose_numbers").option("rows", 100).load()
     name = f"arkose_{uuid.uuid4().hex}"
-    q = s.writeStream.format("memory").queryName(name).option("checkpointLocation", scratch(t.spark)).trigger(processingTime="0 seconds").start()
+    q = s.writeStream.format("memory").queryName(name).option("checkpointLocation", shared_dir(t.spark)).trigger(processingTime="0 seconds").start()
     try:
         import time
 

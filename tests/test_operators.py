@@ -4,9 +4,9 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from arkose.operators.joins import asof_join, hot_keys, interval_join, not_in, salted_join
+from arkose.operators.joins import asof_join, hot_keys, interval_join, not_in, salted_join, skew_join
 from arkose.operators.ordered import before, numbered
-from arkose.operators.text import first_copies, word_grams
+from arkose.operators.text import first_copies, word_runs
 from arkose.operators.windows import top_k_per_group
 from arkose.streaming.events import sessions
 
@@ -95,6 +95,31 @@ def test_salted_join_loses_no_row(spark):
     assert salted_join(large, small, "k", 4, F.col("id"), hot).count() == large.join(small, "k").count() == 335
 
 
+def test_adaptive_execution_splits_a_skewed_key(spark):
+    """With small limits for small tables: the partition of the hot key is cut."""
+    small = {"autoBroadcastJoinThreshold": "-1", "adaptive.coalescePartitions.enabled": "false", "adaptive.advisoryPartitionSizeInBytes": "2k", "adaptive.skewJoin.skewedPartitionThresholdInBytes": "2k", "adaptive.skewJoin.skewedPartitionFactor": "1.1", "shuffle.partitions": "16"}
+    before = {k: spark.conf.get(f"spark.sql.{k}") for k in small}
+    large = spark.range(30_000).repartition(8).select(F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id")).alias("k"), "id")
+    other = spark.range(60_000).select((F.col("id") % 30_000).alias("k")).groupBy("k").agg(F.count("*").alias("n"))
+    try:
+        for k, v in small.items():
+            spark.conf.set(f"spark.sql.{k}", v)
+        joined = skew_join(large, other, "k")
+        assert len(joined.collect()) == 30_000
+        assert "skew=true" in joined._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(f"spark.sql.{k}", v)
+
+
+def test_hot_key_of_the_skewed_lines_is_salted(spark):
+    from arkose.operators import joins
+    from arkose.registry import Tables
+
+    lines, _ = joins._skewed(Tables(spark, "/root/testdata/sf0.001"))
+    assert [r.k for r in hot_keys(lines, "k", 100).collect()] == [1]
+
+
 def test_top_k_with_ties(spark):
     df = spark.createDataFrame([("a", 1, 1), ("a", 1, 2), ("a", 0, 3), (None, 5, 4)], "g string, v int, id int")
     got = sorted((str(r.g), r.id) for r in top_k_per_group(df, ["g"], [F.desc("v"), F.asc("id")], 2).collect())
@@ -110,8 +135,8 @@ def test_sessions_join_at_exactly_the_gap(spark):
 def test_first_copies_and_grams(spark):
     df = spark.createDataFrame([(3, "a b c"), (1, "a b c"), (2, None), (5, None), (4, "")], "doc_id long, text string")
     assert sorted(r.doc_id for r in first_copies(df, "doc_id", "text").collect()) == [1, 2, 4]
-    assert word_grams(df, "doc_id", 3).count() == 2
-    assert word_grams(df, "doc_id", 4).count() == 0
+    assert word_runs(df, "doc_id", 3).count() == 2
+    assert word_runs(df, "doc_id", 4).count() == 0
 
 
 def test_scans_push_down(spark):
