@@ -5,8 +5,6 @@ from __future__ import annotations
 import ctypes
 import os
 import re
-import tempfile
-import uuid
 from array import array
 from functools import lru_cache
 
@@ -14,9 +12,11 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from arkose.operators.filters import parted  # noqa: F401  (for the operators)
+from arkose.storage import forget, fresh, settled, shared_dir  # noqa: F401
+
 #: White space as the tokenizers' regex engine sees it (fixed values).
 WS = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"  # as in a character class
 _GLUED = re.compile(f"[{WS}] (?:[{WS}]|\\Z)")
@@ -29,49 +29,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A fresh folder under spark.checkpoint.dir (or the folder of setCheckpointDir),
-    which driver and executors share.
-
-    Where neither is set, a session on one machine (tests) gets a temporary folder; on a
-    cluster that is an error, as executors would not share it.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not root:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        root = shared_dir.own = getattr(shared_dir, "own", None) or "file://" + tempfile.mkdtemp(prefix="arkose-")
-    return f"{root}/arkose/{uuid.uuid4().hex}"
-
-
-def fresh(df: DataFrame, stem: str) -> str:
-    """A column name that `df` does not have."""
-    taken = {c.lower() for c in df.columns}
-    while stem.lower() in taken:
-        stem += "_"
-    return stem
-
-
-def settled(df: DataFrame, compression: str = "snappy") -> DataFrame:
-    """`df` written to the shared folder and read again: lineage ends here, and the
-    result survives the loss of any executor. Its columns' names are kept, whatever
-    they are."""
-    path, names = shared_dir(df.sparkSession), [f"c{i}" for i in range(len(df.columns))]
-    plain = df.toDF(*names)
-    plain.write.option("compression", compression).parquet(path)
-    out = df.sparkSession.read.schema(plain.schema).parquet(path).toDF(*df.columns)
-    out._arkose_path = path
-    return out
-
-
-def forget(*tables: DataFrame) -> None:
-    """Removes what `settled` has written of tables that nothing reads any more."""
-    for df in tables:
-        jvm = df.sparkSession._jvm
-        path = jvm.org.apache.hadoop.fs.Path(df._arkose_path)
-        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def typed(df: DataFrame, column: str, rest: str) -> T.StructType:
     """A schema of a column of `df`, whatever its type, and the columns of a DDL string."""
     return T.StructType([T.StructField(column, df.schema[column].dataType), *T.StructType.fromDDL(rest)])
@@ -84,24 +41,6 @@ def mapped(df: DataFrame, run, schema: T.StructType) -> DataFrame:
     return df.toDF(*[f"c{i}" for i in range(len(df.columns))]).mapInArrow(run, inner).toDF(*schema.names)
 
 
-def parted(df: DataFrame, key, keys: DataFrame, bits: int = 24) -> tuple[DataFrame, DataFrame]:
-    """Rows of `df` whose key may be one of `keys` (a table of one column), and the rows
-    whose key is none of them. No row is shuffled for it.
-
-    The keys set bits of a filter of 2^bits bits. It is joined as a table of at most
-    2^(bits - 6) rows, which bounds what is broadcast whatever the number of keys; with
-    very many keys the first part grows to all rows, and is still right.
-    """
-    bit = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << bits))
-    mine, of = bit(key), bit(F.col(keys.columns[0]))
-    words = keys.groupBy(F.shiftright(of, 6).alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (of % 64).cast("int"))).alias("bits"))
-    w, b = fresh(df, "w"), fresh(df, "bits")
-    marked = df.join(F.broadcast(settled(words).toDF(w, b)), F.shiftright(mine, 6) == F.col(w), "left")
-    hit = F.coalesce(F.getbit(F.col(b), (mine % 64).cast("int")) == 1, F.lit(False))
-    columns = [F.col(f"`{c}`") for c in df.columns]
-    return marked.where(hit).select(columns), marked.where(~hit).select(columns)
-
-
 #: Rows, and bytes of their texts, that a worker turns into Python objects at once.
 ROWS, BYTES = 512, 4 << 20
 

@@ -3,10 +3,13 @@
 The spans found by form are the seeds: e-mail and IP addresses, card and phone numbers,
 and secrets of forms that hardly anything else has (long hexadecimal keys, tokens with
 the usual prefixes). Each seed, and each other token with digits that might be an
-identifier, is an instance; the words around it are its patterns. Spark scores the graph
-of patterns and instances in rounds: a pattern is as good as the share of its instances
-that are known, an instance as good as the mean of its patterns. The tokens in contexts
-of the patterns that end with high confidence are new spans.
+identifier, is an instance; the words around it, on both sides or on one, and its own
+shape are its patterns. Spark scores the graph of patterns and instances in rounds: a
+pattern is as good as the share of its instances that are known, an instance as good as
+the mean of its patterns. The tokens of the patterns that end with high confidence are
+new spans. A token that has a kind's form and fails its check (a number that fails Luhn, a
+part over 255) is known not to be of that kind: only a mark that announces a value, as in
+token = "...", is a pattern of it.
 """
 
 from __future__ import annotations
@@ -18,6 +21,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from arkose.llm.common import forget, fresh, mapped, parted, settled, slices, typed
 from arkose.shipping import shipped
@@ -123,10 +127,46 @@ def _word(raw: str) -> str:
     return raw.strip(_EDGE).lower() or raw
 
 
+#: Marks that announce a value.
+_CUES = frozenset(":=#\"'")
+_LETTERS, _DIGITS = re.compile(r"[^\W\d_]+"), re.compile(r"[0-9]+")
+_MIXED = re.compile(r"(?=[0-9]*[A-Fa-f])(?=[A-Fa-f]*[0-9])[0-9A-Fa-f]{8,}")
+
+
+def shape(token: str) -> str:
+    """A token's form: x and a length for a run of 8 hexadecimal digits or more of both
+    kinds, a for letters, 9 for each digit (up to three in a row between dots: one 9)."""
+    core = _MIXED.sub(lambda m: f"x{len(m[0])}", token.strip(_EDGE))
+    if _IP.fullmatch(core):
+        return "9.9.9.9"
+    parts = re.split(r"(x[0-9]+)", core)
+    return "".join(part if i % 2 else _DIGITS.sub(lambda m: "9" * len(m[0]), _LETTERS.sub("a", part)) for i, part in enumerate(parts))
+
+
+def rejected(token: str) -> bool:
+    """Whether a token has the form of an IP address or a card and fails its check."""
+    if _IP.fullmatch(token):
+        return not all(map(_small, token.split(".")))
+    digits = token.replace(" ", "").replace("-", "")
+    return _CARD.fullmatch(token) is not None and 14 <= len(digits) <= 19 and not luhn(digits)
+
+
+def names(core: str, before2: str, before: str, after: str, announced: str) -> list[str]:
+    """The patterns of an instance: two words before it, one on each side, its shape, and its
+    shape after a word; where marks announce it (`announced`), the word before with them.
+    A plain word on one side says nothing: most instances may be known."""
+    two = f"2\0{before2}\0{before}"
+    found = [two, f"L\0{before}\0{announced}"] if announced and _LETTERS.search(before) else [two] if announced else []
+    if not rejected(core.strip(_EDGE)):
+        form = shape(core)
+        found += [f"1\0{before}\0{after}", f"S\0{form}", f"T\0{form}\0{before}"] + [two] * (not announced)
+    return found
+
+
 def contexts(text: str, spans) -> list[tuple[int, int, str, bool, list[int]]]:
     """(start, end, instance, known, pattern hashes) of the seeds, of other tokens that hold
-    a digit and lie clear of all seeds, and of runs of such tokens."""
-    if not spans and not _DIGIT.search(text):
+    a digit or an @ and lie clear of all seeds, and of runs of such tokens."""
+    if not spans and not _DIGIT.search(text) and "@" not in text:
         return []
     tokens = [(m.start(), m.end()) for m in _TOKEN.finditer(text)]
     starts = [a for a, _ in tokens]
@@ -137,9 +177,9 @@ def contexts(text: str, spans) -> list[tuple[int, int, str, bool, list[int]]]:
     def add(start, end, known):
         i, j = bisect_right(starts, start) - 1, bisect_left(starts, end)
         word = lambda k: _word(text[slice(*tokens[k])]) if 0 <= k < len(tokens) else "^"
-        l1 = word(i - 1)
-        names = ("2\0" + word(i - 2) + "\0" + l1, "1\0" + l1 + "\0" + word(j))
-        out.append((start, end, text[start:end].lower(), known, [xxhash.xxh64_intdigest(n.encode()) - (1 << 63) for n in names]))
+        marks = (text[tokens[i - 1][1] - 1] if i > 0 else "") + text[tokens[i][0] : start][-8:]
+        patterns = names(text[start:end], word(i - 2), word(i - 1), word(j), marks if _CUES.intersection(marks) else "")
+        out.append((start, end, text[start:end].lower(), known, [xxhash.xxh64_intdigest(n.encode()) - (1 << 63) for n in patterns]))
 
     taken = sorted((a, b) for a, _, b in spans)
     for a, b in taken:
@@ -156,7 +196,7 @@ def contexts(text: str, spans) -> list[tuple[int, int, str, bool, list[int]]]:
         piece = text[a:b]
         left = len(piece) - len(piece.lstrip(_EDGE))
         core = piece.strip(_EDGE)
-        if not _DIGIT.search(core):
+        if not _DIGIT.search(core) and "@" not in core:
             close()
             continue
         a, b = a + left, a + left + len(core)
@@ -173,9 +213,15 @@ def _key(text: str) -> bytes:
     return hashlib.md5(text.encode(), usedforsecurity=False).digest()
 
 
+def hidden(seed: str, hide: int) -> bool:
+    return xxhash.xxh64_intdigest(seed.lower().encode(), 7) % hide == 0
+
+
 @shipped
-def occurrences(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """Rows (key, start, end, known, instance, pattern) of all texts; key is the text's MD5."""
+def occurrences(df: DataFrame, text_col: str = "text", hide: int = 0) -> DataFrame:
+    """Rows (key, start, end, known, instance, pattern) of all texts; key is the text's MD5.
+    With `hide`, one seed in so many, by its hash, is treated as unknown, to measure how
+    many of them the rounds find again."""
 
     def run(batches):
         for batch in slices(batches, 0):
@@ -185,6 +231,8 @@ def occurrences(df: DataFrame, text_col: str = "text") -> DataFrame:
                     key = None
                     base = base_spans(text)
                     seeds = base + [(a, len(KINDS), b) for a, b in secret_spans(text, base)]
+                    if hide:
+                        seeds = [s for s in seeds if not hidden(text[s[0] : s[2]], hide)]
                     for a, b, instance, known, patterns in contexts(text, seeds):
                         key = key or _key(text)
                         h = xxhash.xxh64_intdigest(instance.encode()) - (1 << 63)
@@ -199,24 +247,26 @@ def scored_patterns(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """From rows (pattern, instance, known): (pattern, share, support) after the rounds.
 
     share is the mean worth of the pattern's distinct instances, support the sum. Known
-    instances are worth 1, others 0 at first and then the mean over their patterns of
-    the shares of those that count. Each round uses the last one's result once, so the
-    rounds are one plan over the written edges.
+    instances are worth 1, others 0 at first and then the mean over their patterns with
+    enough support of the shares that are large enough (others count 0). Each round's results are written: both inputs of every
+    join are then read as they are, so Spark can split a pattern of very many instances.
     """
-    edges = settled(edges.groupBy("pattern", "instance").agg(F.max("known").alias("known")))  # read until the result is
-    known = edges.groupBy("instance").agg(F.max("known").alias("known"))
-    worth = known.select("instance", F.col("known").cast("double").alias("worth"), "known")
+    edges = settled(edges.groupBy("pattern", "instance").agg(F.max("known").alias("known")))
+    known = settled(edges.groupBy("instance").agg(F.max("known").alias("known")))
+    worth, old = known.select("instance", F.col("known").cast("double").alias("worth")), [edges, known]
     for r in range(rounds):
         each = edges.select("pattern", "instance").join(worth, "instance")
-        patterns = each.groupBy("pattern").agg(F.avg("worth").alias("share"), F.sum("worth").alias("support"))
+        patterns = settled(each.groupBy("pattern").agg(F.avg("worth").alias("share"), F.sum("worth").alias("support")))
         if r < rounds - 1:
-            counting = F.when((F.col("support") >= LEAST_KNOWN) & (F.col("share") >= LEAST_SHARE), F.col("share")).otherwise(0.0)
+            counting = F.when(F.col("support") >= LEAST_KNOWN, F.when(F.col("share") >= LEAST_SHARE, F.col("share")).otherwise(0.0))
             better = edges.select("pattern", "instance").join(patterns, "pattern").groupBy("instance").agg(F.avg(counting).alias("mean"))
-            worth = known.join(better, "instance").select("instance", F.when(F.col("known"), 1.0).otherwise(F.col("mean")).alias("worth"), "known")
+            worth = settled(known.join(better, "instance").select("instance", F.when(F.col("known"), 1.0).otherwise(F.coalesce("mean", F.lit(0.0))).alias("worth")))
+            old += [patterns, worth]
+    forget(*old)
     return patterns
 
 
-def discovered(df: DataFrame, text_col: str = "text") -> DataFrame:
+def discovered(df: DataFrame, text_col: str = "text", hide: int = 0) -> DataFrame:
     """(key, extra): the spans that contexts add to the texts with this MD5, as an array
     of (start, end) in order, without those inside others.
 
@@ -224,14 +274,14 @@ def discovered(df: DataFrame, text_col: str = "text") -> DataFrame:
     empty table gives no row; texts may have any length; other columns are ignored. The
     result is a written table, so its size is known where it is joined.
     """
-    seen = settled(occurrences(df, text_col).distinct())
+    seen = settled(occurrences(df, text_col, hide).distinct())
     patterns = scored_patterns(seen.select("pattern", "instance", "known"))
-    sure = patterns.where((F.col("support") >= LEAST_KNOWN) & (F.col("share") >= SURE)).select("pattern")
-    spans = seen.where(~F.col("known")).join(sure, "pattern").select("key", "start", "end").distinct()
-    found = spans.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("extra"))
-    inside = lambda s, t: (t["start"] <= s["start"]) & (s["end"] <= t["end"]) & (s != t)
-    found = settled(found.select("key", F.filter("extra", lambda s: ~F.exists("extra", lambda t: inside(s, t))).alias("extra")))
-    forget(seen)
+    sure = settled(patterns.where((F.col("support") >= LEAST_KNOWN) & (F.col("share") >= SURE)).select("pattern"))
+    places = seen.where(~F.col("known")).join(sure, "pattern").select("key", "start", "end").distinct()
+    before = Window.partitionBy("key").orderBy("start", F.desc("end")).rowsBetween(Window.unboundedPreceding, -1)
+    outer = places.withColumn("reached", F.max("end").over(before)).where("reached IS NULL OR end > reached")  # else inside an earlier one
+    found = settled(outer.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("extra")))
+    forget(seen, sure, patterns)
     return found
 
 

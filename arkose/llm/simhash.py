@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from arkose.llm.common import parted, settled
-from arkose.llm.graphs import stars
+from arkose.operators.graphs import stars
 from arkose.shipping import shipped
 
 SEED, SHINGLE = 42, 4
@@ -174,7 +174,7 @@ def link_forest(fps: DataFrame, radius: int = 4, blocks: int = 6, block_rows: in
     tables = masks(radius, blocks)
     signed = [m - (1 << 64) if m >> 63 else m for m in tables]
     keys = fps.select("fp", F.explode(F.array(*[F.struct(F.lit(t).cast("byte").alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for t, m in enumerate(signed)])).alias("b")).select("fp", "b.t", "b.key")
-    full = keys.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1")
+    full = settled(keys.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1"))  # written, so Spark can split a hot bucket
     rows = keys.join(full, ["t", "key"]).withColumn("parts", F.ceil(F.col("n") / block_rows).cast("int"))
     rows = rows.withColumn("part", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
