@@ -24,6 +24,8 @@ WORDS, SIMILAR = 5, 0.8
 #: Sets of similarity 0.8 meet with a probability of 1 - (1 - 0.8^6)^13 = 0.981, of 0.85 with
 #: 0.998, of 0.2 with 0.0008. Many more functions than this make code that the JVM does not compile.
 BANDS, IN_BAND = 13, 6
+#: Leaders that a bucket has one after another, while that saves comparisons.
+TURNS = 10
 _PRIME = (1 << 31) - 1
 #: Digits of an MD5 that make a run's hash, which fits in a long.
 _DIGITS = 15
@@ -98,9 +100,11 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     they share a band and their sets have a similarity of the threshold or more.
 
     Each text of a bucket is compared with the bucket's leader. What that links is one
-    component; texts of a bucket that are not of its largest component are then compared with
-    all texts of the bucket that are of another one. So every two texts of a bucket are
-    in one component or were compared, and a group of very many alike makes no pairs.
+    component; texts of other components than the bucket's largest are then compared with
+    another leader of that one, in turns, as long as many such texts are left. At last each
+    of them is compared with all texts of the bucket that are of another component. So
+    every two texts of a bucket are in one component or were compared, and a group of
+    very many alike makes no pairs.
 
     Words are lower case. Texts without words (null, empty) are one class. Null ids are not
     least, unless a class has no other: then its class_id is null. Repeated rows are of
@@ -110,13 +114,23 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     members = buckets(signed, bands, in_band)
     sets = shingle_sets(df, id_col, text_col, settled(members.select("node").distinct()).join(signed, "node").select("node", "id", "key"))
     pairs = settled(members.where("node <> leader").select(F.col("leader").alias("u"), F.col("node").alias("v")).distinct())
-    links = settled(similar(pairs, sets, threshold))
-    roots = stars(links)
-    rooted = settled(members.join(roots.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left").withColumn("root", F.coalesce("root", "node")))
-    bucket = ["band", "value"]
-    counts = rooted.groupBy(*bucket, "root").agg(F.count("*").alias("n"))
-    mixed = settled(counts.groupBy(*bucket).agg(F.count("*").alias("roots"), F.max(F.struct("n", "root"))["root"].alias("major")).where("roots > 1"))
-    inside = settled(rooted.join(mixed.drop("roots"), bucket))
+    links, bucket = settled(similar(pairs, sets, threshold)), ["band", "value"]
+    all_members, done = members.count(), [members, sets, pairs]
+    for turn in range(1, TURNS + 1):
+        roots = stars(links).select(F.col("u").alias("node"), F.col("v").alias("root"))
+        rooted = settled(members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
+        counts = rooted.groupBy(*bucket, "root").agg(F.count("*").alias("n"))
+        mixed = settled(counts.groupBy(*bucket).agg(F.sum("n").alias("all"), F.max(F.struct("n", "root")).alias("most")).where("all > most.n"))
+        inside = settled(rooted.join(mixed.select(*bucket, F.col("most.root").alias("major")), bucket))
+        done += [rooted, mixed, inside]
+        work = mixed.agg(F.sum((F.col("all") - F.col("most.n")) * F.col("all"))).first()[0] or 0
+        if work <= all_members or turn == TURNS:
+            break
+        heads = settled(inside.where("root = major").groupBy(*bucket).agg(F.min_by("node", F.xxhash64("node", F.lit(turn))).alias("head")))
+        tries = inside.where("root <> major").select(*bucket, "node").join(heads, bucket)
+        tries = settled(tries.select(F.least("node", "head").alias("u"), F.greatest("node", "head").alias("v")).distinct())
+        links = settled(links.union(similar(tries, sets, threshold)))
+        done += [heads, tries]
     strays = settled(inside.where("root <> major AND node <> leader").select(*bucket, F.col("node").alias("stray"), F.col("root").alias("other")))
     met = inside.where("node <> leader").join(strays, bucket).where("root <> other")
     more = settled(met.select(F.least("node", "stray").alias("u"), F.greatest("node", "stray").alias("v")).distinct())
@@ -125,7 +139,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     least = signed.join(final, "node").groupBy("root").agg(F.min("id").alias("least"))
     linked = settled(final.join(least, "root").select("node", "least", F.lit(True).alias("linked")))
     classes = settled(signed.join(linked, "node", "left").select("key", F.when(F.col("linked"), F.col("least")).otherwise(F.col("id")).alias("class_id")))
-    forget(members, sets, pairs, rooted, mixed, inside, strays, more)
+    forget(*done, strays, more)
     rows = df.select(F.col(id_col).alias("id"), _key(words(F.col(text_col))).alias("mine"))
     return rows.join(classes, F.col("mine") == F.col("key")).select(F.col("id").alias(id_col), "class_id")
 
