@@ -177,6 +177,12 @@ def h8_variant(t):
     return t.events.select("event_id", F.variant_get(F.parse_json("props"), "$.k", "bigint").alias("k"))
 
 
+@R.query("SELECT event_id, key, json_extract_string(props, '$.' || key) AS value FROM (SELECT event_id, props, unnest(json_keys(props)) AS key FROM events)")
+def h8_variant_explode(t):
+    """A row for each field of a variant, by a table function."""
+    return t.sql("SELECT event_id, v.key AS key, CAST(v.value AS STRING) AS value FROM {events}, LATERAL variant_explode(parse_json(props)) AS v", "events")
+
+
 @R.query(r"SELECT page_id, regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS host, 'a b' AS decoded, page_id::INT AS n, 'v' AS x FROM pages")
 def h9_url_csv_xml(t):
     row = F.from_csv(F.concat(F.col("page_id").cast("string"), F.lit(",q")), "n int, s string")

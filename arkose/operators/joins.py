@@ -231,7 +231,7 @@ def c13_star_join(t):
 
 
 @R.query("SELECT a.c_custkey AS a, count(*) AS n FROM customer a JOIN customer b ON a.c_nationkey = b.c_nationkey AND a.c_mktsegment = b.c_mktsegment AND a.c_acctbal < b.c_acctbal GROUP BY a.c_custkey")
-def c13_self_join(t):
+def c13_richer_in_group(t):
     """How many customers of a group have more: a count over an order, not all pairs."""
     above = Window.partitionBy("c_nationkey", "c_mktsegment").orderBy(F.desc("c_acctbal")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
     ties = Window.partitionBy("c_nationkey", "c_mktsegment", "c_acctbal")
@@ -240,6 +240,14 @@ def c13_self_join(t):
     return rows.groupBy("a").agg(F.sum("n").alias("n"))
 
 
+@R.query("SELECT a.l_orderkey AS l_orderkey, count(*) AS n FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber < b.l_linenumber GROUP BY a.l_orderkey")
+def c13_self_join(t):
+    """Lines of an order with a later line of it: an equi-join of a table with itself."""
+    a, b = (t.lineitem.select("l_orderkey", "l_linenumber").alias(x) for x in "ab")
+    on = (F.col("a.l_orderkey") == F.col("b.l_orderkey")) & (F.col("a.l_linenumber") < F.col("b.l_linenumber"))
+    return a.join(b, on).groupBy(F.col("a.l_orderkey").alias("l_orderkey")).agg(F.count("*").alias("n"))
+
+
 @R.query("SELECT o_orderstatus, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY o_orderstatus")
 def c14_salted_join(t):
     orders = t.orders.select(F.col("o_orderkey").alias("k"), "o_orderstatus")

@@ -85,6 +85,30 @@ def b7_exists_api(t):
     return t.orders.alias("o").where(line.where(F.col("l.l_orderkey") == F.col("o.o_orderkey").outer()).exists()).select("o_orderkey")
 
 
+@R.query("SELECT c_custkey FROM customer WHERE c_acctbal > (SELECT avg(c_acctbal) FROM customer)")
+def b7_scalar_api(t):
+    """A scalar subquery of the DataFrame API."""
+    return t.customer.where(F.col("c_acctbal") > t.customer.agg(F.avg("c_acctbal")).scalar()).select("c_custkey")
+
+
+@R.query("SELECT o_orderkey, o_totalprice * 2 AS twice, upper(o_orderstatus) AS status FROM orders")
+def b1_select_expr(t):
+    return t.orders.selectExpr("o_orderkey", "o_totalprice * 2 AS twice", "upper(o_orderstatus) AS status")
+
+
+@R.query("SELECT o_orderstatus, true AS plain, CASE o_orderstatus WHEN 'F' THEN true WHEN 'O' THEN true END AS strata, true AS known FROM orders GROUP BY o_orderstatus")
+def b8_sample_shares(t):
+    """Of each status, whether the samples' shares are within five deviations of what was asked
+    for, and whether each sampled row is one of the table, once."""
+    o = t.orders.select("o_orderkey", "o_orderstatus")
+    plain, strata = (x.groupBy("o_orderstatus").agg(F.count("*").alias(n), F.countDistinct("o_orderkey").alias(f"{n}_keys")) for n, x in (("p", o.sample(0.1, seed=7)), ("s", o.sampleBy("o_orderstatus", {"F": 0.5, "O": 0.1}, seed=7))))
+    rows = o.groupBy("o_orderstatus").agg(F.count("*").alias("n")).join(plain, "o_orderstatus", "left").join(strata, "o_orderstatus", "left")
+    near = lambda c, share: F.abs(c - F.col("n") * share) <= 5 * F.sqrt(F.col("n") * share * (1 - share))
+    by = F.when(F.col("o_orderstatus") == "F", near(F.col("s"), 0.5)).when(F.col("o_orderstatus") == "O", near(F.col("s"), 0.1))
+    known = (F.col("p") == F.col("p_keys")) & (F.coalesce("s", F.lit(0)) == F.coalesce("s_keys", F.lit(0)))
+    return rows.select("o_orderstatus", near(F.col("p"), 0.1).alias("plain"), by.alias("strata"), known.alias("known"))
+
+
 @R.query()
 def b8_sample(t):
     """Sampling is the feature: a tenth of the orders by a seed, and by status."""

@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from arkose.functions import scalar, udfs
-from arkose.operators import aggregates, joins, minhash, relational, sketches, text, windows
+from arkose.operators import aggregates, histories, joins, masks, minhash, relational, sketches, text, windows
 from arkose.sources import formats
 from arkose.streaming import events
 
-_MODULES = (relational, formats, joins, aggregates, windows, scalar, udfs, events, text, minhash, sketches)
+_MODULES = (relational, formats, joins, aggregates, windows, scalar, udfs, events, text, minhash, sketches, histories, masks)
 
 
 def queries() -> dict:

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import uuid
 
+import pyarrow.fs as fs
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, DataSourceStreamReader, InputPartition, WriterCommitMessage
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from arkose.registry import Registry
 from arkose.storage import shared_dir
@@ -67,7 +70,7 @@ class _Part(InputPartition):
 
 
 class _Numbers(DataSource):
-    """Numbers and their squares; options: rows, parts. Reads, streams, and counts writes."""
+    """Numbers and their squares; options: rows, parts. Reads and streams."""
 
     @classmethod
     def name(cls):
@@ -82,9 +85,6 @@ class _Numbers(DataSource):
     def streamReader(self, schema):
         return _NumbersStream(int(self.options.get("rows", 1000)))
 
-    def writer(self, schema, overwrite):
-        return _NumbersWriter(self.options["out"])
-
 
 class _NumbersReader(DataSourceReader):
     def __init__(self, rows, parts):
@@ -119,30 +119,69 @@ class _NumbersStream(DataSourceStreamReader):
             yield n, n * n
 
 
-class _Counted(WriterCommitMessage):
-    def __init__(self, rows):
-        self.rows = rows
+class _Written(WriterCommitMessage):
+    def __init__(self, name):
+        self.name = name
 
 
-class _NumbersWriter(DataSourceWriter):
-    """Counts rows in the tasks and puts the sum where the driver finds it."""
+class _Files(DataSource):
+    """A sink: each task writes a Parquet file of its own beside the folder `path`, and the
+    commit renames the files of the tasks that count into it. Tasks that ran twice or
+    failed leave nothing there. Any file system that Arrow knows will do."""
 
-    counted: dict = {}
+    @classmethod
+    def name(cls):
+        return "arkose_files"
 
-    def __init__(self, out):
-        self.out = out
+    def writer(self, schema, overwrite):
+        return _FilesWriter(self.options["path"], schema)
 
-    def write(self, rows):
-        return _Counted(sum(1 for _ in rows))
 
-    def commit(self, messages):
-        import json
+class _FilesWriter(DataSourceArrowWriter):
+    def __init__(self, path, schema):
+        self.path, self.schema = path, to_arrow_schema(schema)
 
-        with open(self.out, "w") as f:
-            json.dump({"rows": sum(m.rows for m in messages)}, f)
+    def _at(self, *names):
+        system, root = fs.FileSystem.from_uri(self.path)
+        return system, "/".join([root.rstrip("/"), *names])
+
+    def write(self, batches):
+        system, folder = self._at("_tasks")
+        system.create_dir(folder, recursive=True)
+        name, writer = f"{uuid.uuid4().hex}.parquet", None
+        for batch in batches:
+            if writer is None:
+                writer = pq.ParquetWriter(f"{folder}/{name}", self.schema, filesystem=system)
+            writer.write_batch(batch.cast(self.schema))
+        if writer is not None:
+            writer.close()
+        return _Written(name if writer is not None else None)
+
+    def commit(self, messages):
+        system, folder = self._at()
+        for m in messages:
+            if m is not None and m.name:
+                system.move(f"{folder}/_tasks/{m.name}", f"{folder}/{m.name}")
+        self.abort(messages)
 
     def abort(self, messages):
-        pass
+        system, folder = self._at("_tasks")
+        if system.get_file_info(folder).type != fs.FileType.NotFound:
+            system.delete_dir(folder)
+
+
+def sink(df: DataFrame) -> str:
+    """Writes `df` through the sink into a fresh shared folder, whose path is returned."""
+    spark, path = df.sparkSession, shared_dir(df.sparkSession)
+    spark.dataSource.register(_Files)
+    df.write.format("arkose_files").option("path", path).mode("append").save()
+    return path
+
+
+@R.query("SELECT * FROM orders")
+def a6_custom_sink(t):
+    """Orders written by the tasks, committed by renaming, and read back by Spark."""
+    return t.spark.read.schema(t.orders.schema).parquet(sink(t.orders))
 
 
 def numbers(spark, rows: int = 1000) -> DataFrame:

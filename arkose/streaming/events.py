@@ -285,6 +285,51 @@ def i7_state_with_ttl(t):
         return used_up(s, "update", once=True).groupBy("user_id").agg(F.max("n").alias("n"))
 
 
+def counted_halves(t, ttl: int | None) -> DataFrame:
+    """(user_id, n) of the second of two runs of one stream: counts of a user's events, kept
+    for `ttl` milliseconds after their last change, or for ever. The first run has the events
+    of even ids; the second one goes on from its checkpoint after the time has passed."""
+    import time
+
+    from pyspark.sql.streaming.stateful_processor import StatefulProcessor
+
+    class Counter(StatefulProcessor):
+        def init(self, handle):
+            self.n = handle.getValueState("n", "n long", ttl) if ttl else handle.getValueState("n", "n long")
+
+        def handleInputRows(self, key, rows, timers):
+            n = (self.n.get()[0] if self.n.exists() else 0) + sum(len(f) for f in rows)
+            self.n.update((n,))
+            yield pd.DataFrame({"user_id": [key[0]], "n": [n]})
+
+        def close(self):
+            pass
+
+    spark, files, checkpoint, out = t.spark, *(shared_dir(t.spark) for _ in range(3))
+    with rocks(spark):
+        for half in (0, 1):
+            if half and ttl:
+                time.sleep(1.5 * ttl / 1000)
+            t.events.where(F.col("event_id") % 2 == half).select("user_id").write.mode("append").parquet(files)
+            users = spark.readStream.schema("user_id long").parquet(files).groupBy("user_id")
+            counts = users.transformWithStateInPandas(Counter(), "user_id long, n long", "Update", "ProcessingTime")
+            keep = lambda batch, _, to=f"{out}/{half}": batch.write.mode("overwrite").parquet(to)
+            counts.writeStream.outputMode("update").option("checkpointLocation", checkpoint).trigger(once=True).foreachBatch(keep).start().awaitTermination()
+    return spark.read.schema("user_id long, n long").parquet(f"{out}/1").groupBy("user_id").agg(F.max("n").alias("n"))
+
+
+@R.query("SELECT user_id, count(*) AS n FROM events WHERE event_id % 2 = 1 GROUP BY user_id")
+def i7_expired_state(t):
+    """The first run's counts have expired when the second begins, so it counts from 0."""
+    return counted_halves(t, 2000)
+
+
+@R.query("SELECT user_id, count(*) AS n FROM events GROUP BY user_id HAVING count(*) FILTER (event_id % 2 = 1) > 0")
+def i7_kept_state(t):
+    """The same stream without an expiry: the second run goes on from the first's counts."""
+    return counted_halves(t, None)
+
+
 @R.query("SELECT c.event_id AS click_id, p.event_id AS purchase_id FROM events c JOIN events p ON c.user_id = p.user_id AND p.ts BETWEEN c.ts AND c.ts + INTERVAL 1 HOUR WHERE c.event_type = 'click' AND p.event_type = 'purchase'")
 def c15_stream_stream_join(t):
     s = stream(t)
