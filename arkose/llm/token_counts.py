@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arkose.llm.common import LONGEST_CACHED, ByteLevel, spaced_units, tokenizer
+from arkose.llm.common import LONGEST_CACHED, ByteLevel, slices, spaced_units, tokenizer
 from arkose.shipping import shipped
 
 FAN_IN = 64
@@ -41,7 +41,7 @@ def frequent_units(df: DataFrame, text_col: str = "text", k: int = 8192) -> list
         from pyspark import TaskContext
 
         counts: Counter = Counter()
-        for batch in batches:
+        for batch in slices(batches, 0):
             for text in batch.column(0).to_pylist():
                 counts.update(spaced_units(text or ""))
                 if len(counts) > 32 * k:
@@ -88,7 +88,7 @@ def token_counts(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     def count(batches):
         keys, raw = tier_one.value
         values = ByteLevel(path, len, dict(zip(keys, array("H", raw)))).values
-        for batch in batches:
+        for batch in slices(batches):
             n_bytes, n_tokens = array("q"), array("q")
             for text in batch.column(1).to_pylist():
                 text = text or ""
