@@ -22,7 +22,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arkose.llm.common import ByteLevel, packed
+from arkose.llm.common import ByteLevel, packed, slices
 from arkose.operators.ordered import before
 from arkose.shipping import shipped
 
@@ -121,7 +121,7 @@ def write_tokens(df: DataFrame, path: str, out: str, end_id: int = 2, id_col: st
             keys, docs, pending, seq = [], [], 0, seq + 1
             return pa.RecordBatch.from_arrays(row, names=["part", "seq", "n_ids", "payload"])
 
-        for batch in batches:
+        for batch in slices(batches):
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 keys.append(key)
                 docs.append(b"".join(values(text or "")) + end)
