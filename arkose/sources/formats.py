@@ -189,15 +189,17 @@ def numbers(spark, rows: int = 1000) -> DataFrame:
     return spark.read.format("arkose_numbers").options(rows=rows).load()
 
 
-@R.query("SELECT range AS n, range * range AS square FROM range(1000)")
+@R.query("SELECT range AS n, range * range AS square, count(*) AS orders FROM range(1000) JOIN orders ON o_custkey % 1000 = range GROUP BY ALL")
 def a6_custom_source(t):
-    return numbers(t.spark)
+    """Rows of a source of our own, read in parts, joined with the orders."""
+    counts = t.orders.groupBy((F.col("o_custkey") % 1000).alias("n")).agg(F.count("*").alias("orders"))
+    return numbers(t.spark).join(counts, "n")
 
 
-@R.query("SELECT k, name, range AS r FROM (VALUES (1, 'a'), (2, 'b'), (3, NULL)) v(k, name) JOIN range(10) ON range % 3 + 1 = k")
+@R.query("SELECT k, name, n_name FROM (VALUES (1, 'a'), (2, 'b'), (3, NULL)) v(k, name) JOIN nation ON n_regionkey = k")
 def a7_inline_rows(t):
     values = t.spark.sql("SELECT * FROM VALUES (1, 'a'), (2, 'b'), (3, NULL) AS v(k, name)")
-    return values.join(t.spark.range(10).withColumnRenamed("id", "r"), F.col("r") % 3 + 1 == F.col("k")).select("k", "name", "r")
+    return t.nation.join(values, F.col("n_regionkey") == F.col("k")).select("k", "name", "n_name")
 
 
 @R.query("SELECT k, name, count(*) AS n FROM (VALUES (1, 'a'), (2, 'b'), (3, NULL)) v(k, name) JOIN orders ON o_orderkey % 4 = k GROUP BY k, name")

@@ -109,21 +109,19 @@ def a5_table_sink(t):
     return t.spark.table(name)
 
 
-@R.query("SELECT range AS n, range * range AS square FROM range(100)")
+@R.query("SELECT c_custkey, range * range AS square FROM range(100) JOIN customer ON c_custkey = range")
 def a6_custom_stream_source(t):
+    """A stream of a source of our own joined with customers; it ends when the source has
+    given all it has."""
     numbers(t.spark)  # registers the source
-    s = t.spark.readStream.format("arkose_numbers").option("rows", 100).load()
-    name = f"arkose_{uuid.uuid4().hex}"
-    q = s.writeStream.format("memory").queryName(name).option("checkpointLocation", shared_dir(t.spark)).trigger(processingTime="0 seconds").start()
+    s, out = t.spark.readStream.format("arkose_numbers").option("rows", 100).load(), shared_dir(t.spark)
+    found = s.join(t.customer, F.col("n") == F.col("c_custkey")).select("c_custkey", "square")
+    q = found.writeStream.format("parquet").option("path", out).option("checkpointLocation", shared_dir(t.spark)).start()
     try:
-        import time
-
-        end = time.time() + 60
-        while t.spark.table(name).count() < 100 and time.time() < end:
-            time.sleep(0.2)
+        q.processAllAvailable()
     finally:
         q.stop()
-    return t.spark.table(name)
+    return t.spark.read.schema(found.schema).parquet(out)
 
 
 _HOURLY = "SELECT time_bucket(INTERVAL 1 HOUR, ts, TIMESTAMP '1970-01-01') AS start, event_type, count(*) AS n, sum(cast(value as decimal(18,2)))::DOUBLE AS total FROM events GROUP BY ALL"
