@@ -25,6 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from arkose.llm import simhash
 from arkose.llm.common import forget, settled, slices, typed
 from arkose.operators.graphs import stars
 from arkose.shipping import shipped
@@ -106,9 +107,13 @@ def similar(common: int, a: int, b: int) -> bool:
     return DEN * common >= NUM * (a + b - common)
 
 
-def placed(size_a, pos_a, size_b, pos_b) -> np.ndarray:
-    """Pairs that may be similar by the sizes of two sets and the places of one shingle."""
+def placed(size_a, pos_a, size_b, pos_b, first: bool = False) -> np.ndarray:
+    """Pairs that may be similar by the sizes of two sets and the places of one shingle.
+    With `first`, only if no shingle before it is in both: each similar pair passes at the
+    first shingle of both, and need not be listed at the others."""
     least = -(-NUM * (size_a + size_b) // (NUM + DEN))  # of common shingles
+    if first:
+        return np.minimum(size_a - pos_a, size_b - pos_b) >= least
     # At most so many common ones lie before the place in both, and so many from it on.
     return (DEN * np.minimum(size_a, size_b) >= NUM * np.maximum(size_a, size_b)) & (np.minimum(pos_a, pos_b) + np.minimum(size_a - pos_a, size_b - pos_b) >= least)
 
@@ -122,15 +127,15 @@ def close(size_a, sketch_a, size_b, sketch_b) -> np.ndarray:
 
 @shipped
 def marked(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: id, fp (the node of its set), size and sketch."""
+    """Per row: id, fp (the node of its set), size, bits (its SimHash) and sketch."""
 
     def run(batches):
         for batch in slices(batches):
             sets = [shingles(normal(t)) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(node, sets), pa.int64()), pa.array(map(len, sets), pa.int32()), pa.array(map(sketch, sets), pa.binary())], names=["id", "fp", "size", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(node, sets), pa.int64()), pa.array(map(len, sets), pa.int32()), pa.array(np.array([simhash.voted(x) for x in sets], np.uint64).view(np.int64)), pa.array(map(sketch, sets), pa.binary())], names=["id", "fp", "size", "bits", "sketch"])
 
     source = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return source.mapInArrow(run, typed(source, "id", "fp long, size int, sketch binary")).withColumnRenamed("id", id_col)
+    return source.mapInArrow(run, typed(source, "id", "fp long, size int, bits long, sketch binary")).withColumnRenamed("id", id_col)
 
 
 @shipped
@@ -248,7 +253,7 @@ def shared(blocks: DataFrame) -> DataFrame:
             if not len(a):
                 break
             b = a + step
-            ok = placed(size[a], pos[a], size[b], pos[b])
+            ok = placed(size[a], pos[a], size[b], pos[b], True)
             keep[a[ok]] = keep[b[ok]] = True
             first = a[ok & ~has[a]]
             following[first], has[first] = fp[first + step], True
@@ -298,7 +303,7 @@ def small_groups(rows: DataFrame) -> DataFrame:
                 if not len(a):
                     break
                 x = a[root[a] != root[a + step]]
-                x = x[placed(size[x], pos[x], size[x + step], pos[x + step])]
+                x = x[placed(size[x], pos[x], size[x + step], pos[x + step], True)]
                 u.append(fp[x]), v.append(fp[x + step])
                 step += 1
             if u:
@@ -333,7 +338,7 @@ def large_groups(rows: DataFrame, fps: DataFrame, every: bool, block_rows: int =
                     break
                 # a block with itself (i = j), or rows of one block with those of another
                 x = a[(root[a] != root[a + step]) & ((i[a] == j[a]) | (side[a] != side[a + step]))]
-                x = x[placed(size[x], pos[x], size[x + step], pos[x + step])]
+                x = x[placed(size[x], pos[x], size[x + step], pos[x + step], True)]
                 x = x[close(size[x], marks[x].tolist(), size[x + step], marks[x + step].tolist())]
                 u.append(fp[x]), v.append(fp[x + step])
                 if not every:
@@ -346,6 +351,20 @@ def large_groups(rows: DataFrame, fps: DataFrame, every: bool, block_rows: int =
     return rows.mapInArrow(solve, "u long, v long").distinct()
 
 
+def simhash_pairs(fps: DataFrame, block_rows: int = 1024) -> DataFrame:
+    """Pairs (u, v) of sets (fp, bits) whose SimHashes are equal or differ in at most 4
+    bits. A set is paired with few others, not with all: with the least of its SimHash, and
+    that with the first within 4 bits in each block of each table."""
+    heads = settled(fps.groupBy("bits").agg(F.min("fp").alias("head")))
+    equal = fps.join(heads, "bits").where("fp <> head").select("head", "fp")
+    links = settled(simhash.link_forest(heads.select(F.col("bits").alias("fp")), block_rows=block_rows, direct=True).distinct())
+    one = links.join(heads.select(F.col("bits").alias("u"), F.col("head").alias("a")), "u")
+    both = one.join(heads.select(F.col("bits").alias("v"), F.col("head").alias("b")), "v")
+    pairs = settled(equal.toDF("a", "b").union(both.select("a", "b")).select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct())
+    forget(heads, links)
+    return pairs
+
+
 def sifted(pairs: DataFrame, fps: DataFrame) -> DataFrame:
     """Of pairs (u, v), each once, those that may be similar by their sketches."""
 
@@ -421,35 +440,48 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", block
     """
     spark = df.sparkSession
     docs = settled(marked(df, id_col, text_col).withColumnRenamed(id_col, "id"))
-    fps = settled(docs.groupBy("fp").agg(F.min("id").alias("first"), F.min("size").alias("size"), F.min("sketch").alias("sketch")))
+    fps = settled(docs.groupBy("fp").agg(F.min("id").alias("first"), F.min("size").alias("size"), F.min("bits").alias("bits"), F.min("sketch").alias("sketch")))
     n, total = docs.agg(F.count("*"), F.sum("size")).first()
     common = common_shingles(df, n, text_col)
     buckets = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(total or 0) // (5 * BUCKET_ROWS)))
     hot = max(1, -(-hot_rows * min(SAMPLE_DOCS, n) // max(n, 1)))
     rows = settled(shared(prefixes(df, common, buckets, hot, text_col)))
-    own = lambda d: d.withColumn("root", F.col("fp"))
     few = rows.where(F.col("n").between(2, NEXT))
     many = settled(rows.where(~F.col("n").between(2, NEXT)).select("h", "fp", "pos", "size").distinct())
     crowded = not many.isEmpty()
-    pairs = few.where("next is not null").select(F.least("fp", "next").alias("u"), F.greatest("fp", "next").alias("v")).distinct()
+    star, tried = spark.createDataFrame([], "fp long, root long"), []
+
+    def rooted(d):
+        return d.join(star, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+    def turn(pairs):
+        """`star` with the links that are found among pairs not yet tried."""
+        for before in tried:
+            pairs = pairs.join(before, ["u", "v"], "left_anti")
+        tried.append(settled(pairs))
+        passing = settled(sifted(tried[-1], fps))
+        if passing.isEmpty():
+            return star
+        found = verified(df, passing, fps, id_col, text_col)
+        joined = stars(star.toDF("u", "v").union(found)).toDF("fp", "root")
+        forget(passing, found)
+        return joined
+
+    star = turn(simhash_pairs(fps, block_rows))
+    following = few.where("next is not null").select(F.least("fp", "next").alias("u"), F.greatest("fp", "next").alias("v")).distinct()
+    one = following.join(star.toDF("u", "a"), "u", "left").join(star.toDF("v", "b"), "v", "left")
+    pairs = one.where("coalesce(a, u) <> coalesce(b, v)").select("u", "v")
     if crowded:
-        pairs = pairs.union(large_groups(own(many), fps, False, block_rows)).distinct()
-    tried = settled(pairs)
-    passing = settled(sifted(tried, fps))
-    near = verified(df, passing, fps, id_col, text_col)
-    star = stars(near).select(F.col("u").alias("fp"), F.col("v").alias("root"))
-    rooted = lambda d: d.join(star, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+        pairs = pairs.union(large_groups(rooted(many), fps, False, block_rows)).distinct()
+    star = turn(pairs)
     pairs = small_groups(rooted(few))
     if crowded:
         pairs = pairs.union(large_groups(rooted(many), fps, True, block_rows)).distinct()
-    more = settled(sifted(pairs.join(tried, ["u", "v"], "left_anti"), fps))
-    if not more.isEmpty():
-        links = star.toDF("u", "v").union(verified(df, more, fps, id_col, text_col))
-        star = stars(links).select(F.col("u").alias("fp"), F.col("v").alias("root"))
+    star = turn(pairs)
     star = star.union(star.select(F.col("root"), F.col("root")).distinct())
     least = star.join(fps.select("fp", "first"), "fp").groupBy("root").agg(F.min("first").alias("least"))
     linked = star.join(least, "root").withColumn("linked", F.lit(True))
     found = fps.join(linked, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.when(F.col("linked"), F.col("least")).otherwise(F.col("first")).alias("component_id"))
     found = settled(found)
-    forget(fps, rows, many, tried, passing, more)
+    forget(fps, rows, many, *tried)
     return docs.select("id", "fp"), found

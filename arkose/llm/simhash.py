@@ -40,7 +40,11 @@ def fingerprint(text: str | None) -> int:
     starts = [0, *(gaps[: len(words) - SHINGLE] + 1).tolist()]
     ends = [*gaps[SHINGLE - 1 :].tolist(), len(data)]
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(data[a:b], SEED) for a, b in zip(starts, ends)], np.uint64)
+    return voted(np.array([digest(data[a:b], SEED) for a, b in zip(starts, ends)], np.uint64))
+
+
+def voted(hashes: np.ndarray) -> int:
+    """The SimHash of hashes: the bits that over half of them have; 0 of none."""
     columns = hashes.view(np.uint8).reshape(-1, 8)
     if len(hashes) < 64:
         ones = np.unpackbits(columns, axis=1, bitorder="little").sum(0, dtype=np.int64)
@@ -168,9 +172,10 @@ def forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
 
 
 @shipped
-def link_forest(fps: DataFrame, radius: int = 4, blocks: int = 6, block_rows: int = 1024) -> DataFrame:
+def link_forest(fps: DataFrame, radius: int = 4, blocks: int = 6, block_rows: int = 1024, direct: bool = False) -> DataFrame:
     """From distinct fingerprints (fp): edges (u, v), each a chain of links within the
-    radius, that connect what the links connect."""
+    radius, that connect what the links connect. With `direct` each edge is one link: that
+    of a fingerprint to the first in its block, so chains over later ones may be left out."""
     tables = masks(radius, blocks)
     signed = [m - (1 << 64) if m >> 63 else m for m in tables]
     keys = fps.select("fp", F.explode(F.array(*[F.struct(F.lit(t).cast("byte").alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for t, m in enumerate(signed)])).alias("b")).select("fp", "b.t", "b.key")
@@ -199,7 +204,12 @@ def link_forest(fps: DataFrame, radius: int = 4, blocks: int = 6, block_rows: in
 
     def edges(cols, group):
         fps, side = np.ascontiguousarray(cols[5]), cols[4]
-        root = forest(len(fps), *links(fps.view(np.uint64), group, side, radius))
+        i, j = links(fps.view(np.uint64), group, side, radius)
+        if direct:
+            root = np.arange(len(fps))
+            np.minimum.at(root, j, i)
+        else:
+            root = forest(len(fps), i, j)
         moved = np.flatnonzero(root != np.arange(len(fps)))
         return pa.RecordBatch.from_arrays([pa.array(fps[moved]), pa.array(fps[root[moved]])], names=["u", "v"])
 
