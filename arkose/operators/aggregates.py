@@ -117,7 +117,14 @@ def d12_sketches(t):
 
 @R.query("SELECT user_id, arg_max(event_id, ts) AS latest, arg_min(event_id, ts) AS earliest, arg_max(event_type, value) AS top_type FROM events GROUP BY user_id")
 def d13_max_by(t):
-    return t.events.groupBy("user_id").agg(F.max_by("event_id", "ts").alias("latest"), F.min_by("event_id", "ts").alias("earliest"), F.max_by("event_type", "value").alias("top_type"))
+    """Of rows with the same greatest or least value, the first by event_id. As in the SQL,
+    rows with a null in either column are passed over."""
+    known = lambda a, b, last: F.when(F.col(a).isNotNull() & F.col(b).isNotNull(), F.struct(b, last))
+    up, down = F.col("event_id"), F.bitwise_not("event_id")  # both without overflow
+    latest = F.max_by("event_id", known("event_id", "ts", down))
+    earliest = F.min_by("event_id", known("event_id", "ts", up))
+    top = F.max_by("event_type", known("event_type", "value", down))
+    return t.events.groupBy("user_id").agg(latest.alias("latest"), earliest.alias("earliest"), top.alias("top_type"))
 
 
 @R.query("SELECT l_returnflag, c AS mode FROM (SELECT l_returnflag, l_linenumber AS c, count(*) AS n FROM lineitem GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY l_returnflag ORDER BY n DESC, c) = 1")
