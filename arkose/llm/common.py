@@ -45,6 +45,14 @@ def mapped(df: DataFrame, run, schema: T.StructType) -> DataFrame:
 ROWS, BYTES = 512, 4 << 20
 
 
+def give_back() -> None:
+    """Gives memory that the worker no longer uses back to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def slices(batches, column: int = 1):
     """The batches cut to at most ROWS rows and about BYTES bytes of a string or binary
     column (one row at least), which bounds what a worker holds. At the end the worker
@@ -59,10 +67,7 @@ def slices(batches, column: int = 1):
                 yield batch.slice(a, b - a)
                 a = b
     finally:
-        pa.default_memory_pool().release_unused()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-        if trim is not None:
-            trim(0)
+        give_back()
 
 
 @lru_cache(maxsize=4)

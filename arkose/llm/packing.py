@@ -12,15 +12,18 @@ from __future__ import annotations
 
 import heapq
 import zlib
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arkose.llm.common import WordLevel, packed, slices, typed
+from arkose.llm.common import WordLevel, give_back, packed, slices, typed
 from arkose.shipping import shipped
 
 LINEAR, QUADRATIC = 1.0, 1.0 / 2048
+#: Tokens, and pieces, that a task hands on at once.
+OUT_TOKENS, OUT_PIECES = 1 << 18, 1 << 13
 
 
 def cost(n):
@@ -78,6 +81,16 @@ def plan_block(lengths, seq_len: int) -> tuple[list[tuple[int, int, int, int, in
     return pieces, n_seq + len(caps)
 
 
+def parts(pieces: list) -> Iterator[list]:
+    """The pieces, in order, in lists of about OUT_TOKENS tokens or of OUT_PIECES."""
+    a = held = 0
+    for b, piece in enumerate(pieces, 1):
+        held += piece[2]
+        if held >= OUT_TOKENS or b - a >= OUT_PIECES or b == len(pieces):
+            yield pieces[a:b]
+            a, held = b, 0
+
+
 @shipped
 def pack(df: DataFrame, path: str, end_id: int = 2, seq_len: int = 4096, id_col: str = "doc_id", text_col: str = "text", block_tokens: int = 4_000_000, block_docs: int = 262_144, with_ids: bool = False) -> DataFrame:
     """Per piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and
@@ -99,18 +112,19 @@ def pack(df: DataFrame, path: str, end_id: int = 2, seq_len: int = 4096, id_col:
         def flush():
             nonlocal keys, docs, pending, done
             pieces, n_seq = plan_block([len(d) // 4 for d in docs], seq_len)
-            cut = [docs[d][4 * s : 4 * (s + n)] for d, s, n, _, _ in pieces]
-            cols = [
-                pa.array([keys[p[0]] for p in pieces], key_type),
-                pa.array([p[1] for p in pieces], pa.int64()),
-                pa.array([p[2] for p in pieces], pa.int64()),
-                pa.array([zlib.crc32(c) for c in cut], pa.int64()),
-                pa.array([len(docs[p[0]]) // 4 for p in pieces], pa.int64()),
-                pa.array([base + done + p[3] for p in pieces], pa.int64()),
-                pa.array([p[4] for p in pieces], pa.int64()),
-            ] + ([pa.array(cut, pa.binary())] if with_ids else [])
+            for some in parts(pieces):  # the block's ids are not held a second time
+                cut = [docs[d][4 * s : 4 * (s + n)] for d, s, n, _, _ in some]
+                cols = [
+                    pa.array([keys[p[0]] for p in some], key_type),
+                    pa.array([p[1] for p in some], pa.int64()),
+                    pa.array([p[2] for p in some], pa.int64()),
+                    pa.array([zlib.crc32(c) for c in cut], pa.int64()),
+                    pa.array([len(docs[p[0]]) // 4 for p in some], pa.int64()),
+                    pa.array([base + done + p[3] for p in some], pa.int64()),
+                    pa.array([p[4] for p in some], pa.int64()),
+                ] + ([pa.array(cut, pa.binary())] if with_ids else [])
+                yield pa.RecordBatch.from_arrays(cols, names=names)
             keys, docs, pending, done = [], [], 0, done + n_seq
-            return pa.RecordBatch.from_arrays(cols, names=names)
 
         key_type = None
         for batch in slices(batches):
@@ -120,9 +134,11 @@ def pack(df: DataFrame, path: str, end_id: int = 2, seq_len: int = 4096, id_col:
                 docs.append(b"".join(values(text or "")) + end)
                 pending += len(docs[-1]) // 4
                 if pending >= block_tokens or len(docs) >= block_docs:
-                    yield flush()
+                    yield from flush()
         if docs:
-            yield flush()
+            yield from flush()
+        del values
+        give_back()
 
     source = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     schema = typed(source, "id", "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids binary" * with_ids)

@@ -1,9 +1,11 @@
 import random
 import zlib
 from collections import defaultdict
+from types import SimpleNamespace
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -176,3 +178,24 @@ def test_store_is_in_order(spark, shard_ids):
     empty = common.shared_dir(spark)
     token_store.write_tokens(frame(spark, []), BYTE, empty)
     assert token_store.read_tokens(spark, empty).collect() == []
+
+
+def test_packing_hands_blocks_on_in_small_batches(spark, monkeypatch):
+    df, runs = frame(spark), []
+    monkeypatch.setattr(type(df), "mapInArrow", lambda self, run, schema: runs.append(run) or self)
+    monkeypatch.setattr("pyspark.TaskContext.get", lambda: SimpleNamespace(partitionId=lambda: 3))
+    packing.pack(df, WORD, with_ids=True)
+    docs = [" ".join(f"word{i % 7}" for i in range(n)) for n in [1, 9000, 400, 3000] * 80]
+    got = list(runs[0]([pa.RecordBatch.from_arrays([pa.array(range(len(docs))), pa.array(docs)], names=["id", "text"])]))
+    assert len(got) > 2 and max(b.nbytes for b in got) < 2 << 20
+    pieces, n = packing.plan_block([len(ids(WORD, t, [2])) for t in docs], 4096)
+    rows = [r for b in got for r in b.to_pylist()]
+    assert [(r["id"], r["start"], r["length"], r["sequence_id"] - (3 << 33), r["offset"]) for r in rows] == pieces
+    assert all(r["ids"] == ids(WORD, docs[r["id"]], [2])[r["start"] : r["start"] + r["length"]].tobytes() for r in rows)
+
+
+def test_parts_keep_all_pieces():
+    pieces = [(d, 0, n, d, 0) for d, n in enumerate([1] * 20_000 + [4096] * 200 + [7])]
+    found = list(packing.parts(pieces))
+    assert sum(found, []) == pieces and list(packing.parts([])) == []
+    assert max(map(len, found)) == packing.OUT_PIECES and all(sum(p[2] for p in x) < packing.OUT_TOKENS + 4096 for x in found)
