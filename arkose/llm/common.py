@@ -53,8 +53,8 @@ def give_back() -> None:
         trim(0)
 
 
-def slices(batches, column: int = 1):
-    """The batches cut to at most ROWS rows and about BYTES bytes of a string or binary
+def slices(batches, column: int = 1, rows: int = ROWS, most: int = BYTES):
+    """The batches cut to at most `rows` rows and about `most` bytes of a string or binary
     column (one row at least), which bounds what a worker holds. At the end the worker
     gives back memory that it no longer uses, for the tasks that run in it later."""
     try:
@@ -62,8 +62,8 @@ def slices(batches, column: int = 1):
             size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
             a = 0
             while a < batch.num_rows:
-                b = int(np.searchsorted(size, (size[a - 1] if a else 0) + BYTES, "right"))
-                b = min(max(b, a + 1), a + ROWS)
+                b = int(np.searchsorted(size, (size[a - 1] if a else 0) + most, "right"))
+                b = min(max(b, a + 1), a + rows)
                 yield batch.slice(a, b - a)
                 a = b
     finally:
@@ -127,9 +127,12 @@ def _byte_chars() -> dict[int, str]:
 
 _BYTE_CHARS = _byte_chars()
 _SPACE_CHAR = _BYTE_CHARS[32]
+#: The alphabet as UTF-16 by byte; a line end, between names, stays.
+_BYTE_LEVEL = np.array([ord(_BYTE_CHARS.get(b, chr(b))) if b != 10 else b for b in range(256)], "<u2")
 #: Letters for which all versions of Unicode agree, and ASCII marks (fixed values).
 _LETTERS, _MARKS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f", "!-/:-@\\[-`{-~"
 _PLAIN = re.compile(f"([{_LETTERS}]*)([{_MARKS}]*)(?:\n([{_LETTERS}]*)([{_MARKS}]*))?")
+_ALL_LETTERS, _ALL_MARKS = ("".join(re.findall(f"[{c}]", "".join(map(chr, range(0x250))))) for c in (_LETTERS, _MARKS))
 
 
 def packed(ids: list[int]) -> bytes:
@@ -205,26 +208,59 @@ class ByteLevel(_Values):
         return [self._spaced[u[1:]] if u[0] == " " else self._bare[u] for u in _UNIT.findall(text)]
 
 
+def strung(flat: np.ndarray, at: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The stretches at[i]:at[i + 1] of `flat`, i as in `which`, end to end, and where each
+    begins (at last, where all end)."""
+    n = (at[1:] - at[:-1])[which]
+    begin = np.concatenate([[0], np.cumsum(n)])
+    return flat[np.repeat(at[which] - begin[:-1], n) + np.arange(begin[-1])], begin
+
+
 class WordLevel(_Values):
     """The same for the word-end BPE, which lower-cases and drops white space: no
-    token spans a space or line end, so the texts between them are independent."""
+    token spans a space or line end, so the texts between them are independent. `value`
+    is `packed`. Each distinct unit of a column of texts is looked at once. Ids of pieces
+    are kept for the columns after it: `limit` of them, or the present column's if more."""
 
-    def __init__(self, path: str, value):
+    def __init__(self, path: str, value, limit: int = 120_000):
         super().__init__(path, value)
-        self._units = UnitCache(self._unit)
-
-    def _unit(self, unit: str):
-        m = _PLAIN.fullmatch(unit)
-        if m is None:
-            return self.whole(unit)
-        word, marks = m[1], m[2]
-        if not word:
-            return self._pre[marks] if marks else self._zero
-        value = self._pre[word.lower()]
-        return value + self._pre[marks] if marks else value
+        self._known, self._limit = {"": self._zero}, limit
+
+    def _pieces(self, pieces: pa.Array) -> list:
+        """Of distinct runs of letters or of marks, each a pre-token."""
+        line = pc.binary_join(pa.ListArray.from_arrays([0, len(pieces)], pieces), "\n")[0].as_buffer()
+        names = _BYTE_LEVEL[np.frombuffer(line, np.uint8)].tobytes().decode("utf-16-le").split("\n")
+        known, tokenize, value = self._known, self._tok.model.tokenize, self._value
+        new = [p for p in names if p not in known]
+        known.update((p, value([t.id for t in tokenize(p)])) for p in new)
+        values = [known[p] for p in names]
+        for p in new:
+            if len(p) > LONGEST_CACHED:
+                del known[p]
+        if len(known) > self._limit:
+            self._known = {p: v for p, v in zip(names, values) if len(p) <= LONGEST_CACHED}
+        return values
+
+    def columns(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts (null: none), end to end, and where each text's begin (at
+        last, where all end)."""
+        split = pc.split_pattern(pc.replace_substring(pc.fill_null(texts, ""), "\n", " "), " ")
+        coded = split.flatten().dictionary_encode()
+        units = coded.dictionary
+        words, marks = pc.utf8_rtrim(units, characters=_ALL_MARKS), pc.utf8_ltrim(units, characters=_ALL_LETTERS)
+        plain = pc.equal(pc.add(pc.binary_length(words), pc.binary_length(marks)), pc.binary_length(units))
+        pieces = pa.concat_arrays([pc.utf8_lower(pc.if_else(plain, words, "")), pc.if_else(plain, marks, "")]).dictionary_encode()
+        two = pieces.indices.to_numpy().reshape(2, -1).T.astype(np.int64)  # the pieces of each unit
+        values = self._pieces(pieces.dictionary)
+        odd = np.flatnonzero(~plain.to_numpy(zero_copy_only=False))  # one piece, of the whole unit
+        two[odd, 0] = len(values) + np.arange(len(odd))
+        values += map(self.whole, units.take(pa.array(odd)).to_pylist())
+        flat, at = strung(np.frombuffer(b"".join(values), "<u4"), np.cumsum([0, *map(len, values)]) // 4, two.ravel())
+        flat, at = strung(flat, at[::2], coded.indices.to_numpy())
+        return flat, at[np.concatenate([[0], np.cumsum(pc.list_value_length(split).to_numpy())])]
 
     def values(self, text: str) -> list:
-        return list(map(self._units.__getitem__, text.replace("\n", " ").split(" ")))
+        return [self.columns(pa.array([text]))[0].tobytes()]
 
 
 assert array("I").itemsize == 4

@@ -22,6 +22,8 @@ from arkose.llm.common import WordLevel, give_back, packed, slices, typed
 from arkose.shipping import shipped
 
 LINEAR, QUADRATIC = 1.0, 1.0 / 2048
+#: Bytes of texts that a task turns into ids at once.
+IN_BYTES = 1 << 20
 #: Tokens, and pieces, that a task hands on at once.
 OUT_TOKENS, OUT_PIECES = 1 << 18, 1 << 13
 
@@ -106,7 +108,7 @@ def pack(df: DataFrame, path: str, end_id: int = 2, seq_len: int = 4096, id_col:
     def run(batches):
         from pyspark import TaskContext
 
-        values, base = WordLevel(path, packed).values, TaskContext.get().partitionId() << 33
+        words, base = WordLevel(path, packed), TaskContext.get().partitionId() << 33
         end, keys, docs, pending, done = packed([end_id]), [], [], 0, 0
 
         def flush():
@@ -127,17 +129,18 @@ def pack(df: DataFrame, path: str, end_id: int = 2, seq_len: int = 4096, id_col:
             keys, docs, pending, done = [], [], 0, done + n_seq
 
         key_type = None
-        for batch in slices(batches):
+        for batch in slices(batches, rows=block_docs, most=IN_BYTES):
             key_type = batch.schema.field(0).type
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            flat, at = words.columns(batch.column(1))
+            for key, a, b in zip(batch.column(0).to_pylist(), at.tolist(), at[1:].tolist()):
                 keys.append(key)
-                docs.append(b"".join(values(text or "")) + end)
+                docs.append(flat[a:b].tobytes() + end)
                 pending += len(docs[-1]) // 4
                 if pending >= block_tokens or len(docs) >= block_docs:
                     yield from flush()
         if docs:
             yield from flush()
-        del values
+        del words
         give_back()
 
     source = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))

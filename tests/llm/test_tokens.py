@@ -1,4 +1,5 @@
 import random
+import sys
 import zlib
 from collections import defaultdict
 from types import SimpleNamespace
@@ -199,3 +200,45 @@ def test_parts_keep_all_pieces():
     found = list(packing.parts(pieces))
     assert sum(found, []) == pieces and list(packing.parts([])) == []
     assert max(map(len, found)) == packing.OUT_PIECES and all(sum(p[2] for p in x) < packing.OUT_TOKENS + 4096 for x in found)
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(texts | st.none(), min_size=1, max_size=6), st.sampled_from([0, 2, 200_000]))
+def test_columns_give_each_texts_ids(column, limit):
+    words = common.WordLevel(WORD, common.packed, limit)
+    for part in (column, column[::-1], ["x" * 500, *column]):  # with what is kept of the column before
+        flat, at = words.columns(pa.array([None, *part], pa.string()).slice(1))
+        assert len(at) == len(part) + 1 and at[0] == 0 and at[-1] == len(flat)
+        for text, a, b in zip(part, at, at[1:]):
+            assert flat[a:b].tobytes() == ids(WORD, text or "").tobytes()
+        assert len(words._known) <= max(limit, 200) and "x" * 500 not in words._known
+
+
+def test_every_plain_letter_and_mark_has_the_tokenizers_ids():
+    chars = common._ALL_LETTERS + common._ALL_MARKS
+    assert len(chars) == len(set(chars)) == sum(common._PLAIN.fullmatch(chr(c)) is not None for c in range(0x110000) if c != 10)
+    column = [form for c in chars for form in (c, f"a{c}", f"{c}a", f"{c}.", f"{c}{c}!?")]
+    flat, at = WORD_VALUES.columns(pa.array(column))
+    assert [flat[a:b].tolist() for a, b in zip(at, at[1:])] == [ids(WORD, t).tolist() for t in column]
+
+
+def test_packing_takes_few_steps_for_units_of_known_pieces(spark, monkeypatch):
+    df, runs, calls = frame(spark), [], [0]
+    monkeypatch.setattr(type(df), "mapInArrow", lambda self, run, schema: runs.append(run) or self)
+    monkeypatch.setattr("pyspark.TaskContext.get", lambda: SimpleNamespace(partitionId=lambda: 0))
+    packing.pack(df, WORD, with_ids=True)
+    units = [f"{w}{m}{n}" for w in ("the", "Cat", "über") for m in "!?.,;:-+*/" for n in ("".join(random.Random(i).choices("!?.,", k=1 + i % 3)) for i in range(80))]
+    docs = [" ".join(units[i:] + units[:i]) for i in range(8)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(docs))), pa.array(docs)], names=["id", "text"])
+    list(runs[0]([batch]))
+    sys.setprofile(lambda frame_, event, arg: calls.__setitem__(0, calls[0] + event.endswith("call")))
+    try:
+        got = list(runs[0]([batch]))
+    finally:
+        sys.setprofile(None)
+    have = defaultdict(bytes)
+    for r in sorted((r for b in got for r in b.to_pylist()), key=lambda r: (r["id"], r["start"])):
+        have[r["id"]] += r["ids"]
+    assert [have[i] for i in range(len(docs))] == [ids(WORD, t, [2]).tobytes() for t in docs]
+    pieces = len({p for u in units for p in common._PLAIN.fullmatch(u).groups()})
+    assert calls[0] < 8 * pieces + 3000
