@@ -53,6 +53,13 @@ def give_back() -> None:
         trim(0)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Spark hands workers at most about BYTES bytes of columns at once, from now on in this
+    session. Else it is 10,000 rows (64 MB at most): whole files, of which the executor holds
+    two copies while a batch grows, and the worker the batch before and the present one."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{BYTES}b")
+
+
 def slices(batches, column: int = 1, rows: int = ROWS, most: int = BYTES):
     """The batches cut to at most `rows` rows and about `most` bytes of a string or binary
     column (one row at least), which bounds what a worker holds. At the end the worker
